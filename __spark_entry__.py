@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 from dataclasses import replace
+from functools import lru_cache
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -27,16 +28,24 @@ BY_CLIENT = replace(STAR_CONFIG, dedup_key="client")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+@lru_cache(maxsize=32)
+def _tables(spark: SparkSession, sf_dir: str) -> Marketplace:
+    """The source tables of a folder, opened once per session like catalog tables."""
+    return from_star(spark, sf_dir)
+
+
+@lru_cache(maxsize=32)
 def _compras(m: Marketplace, cfg: Config = CFG) -> DataFrame:
     return curated.curate_purchases(m.pedidos, m.comercios, cfg)
 
 
+@lru_cache(maxsize=32)
 def _clientes(m: Marketplace, cfg: Config = CFG) -> DataFrame:
     return curated.curate_customers(m.clientes, m.enderecos, m.segments, cfg)
 
 
 def _on_source(build: Callable[[Marketplace], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(from_star(tune(spark), sf_dir))
+    return lambda spark, sf_dir: build(_tables(tune(spark), sf_dir))
 
 
 def _on_compras(report: Callable[..., DataFrame], **options) -> Query:
@@ -49,7 +58,7 @@ def _on_clientes(report: Callable[..., DataFrame], **options) -> Query:
 
 def _stored(store: Callable[[Marketplace, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return store(from_star(tune(spark), sf_dir), shared_folder(spark, "feira"))
+        return store(_tables(tune(spark), sf_dir), shared_folder(spark, "feira"))
 
     return run
 

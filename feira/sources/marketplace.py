@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,29 +24,33 @@ SCHEMAS = {
 }
 
 
-@dataclass(frozen=True)
 class Marketplace:
-    """One DataFrame per source table."""
+    """The source tables as attributes, each opened when first used."""
 
-    pedidos: DataFrame
-    comercios: DataFrame
-    clientes: DataFrame
-    enderecos: DataFrame
-    analytics_app: DataFrame
-    segments: DataFrame
+    def __init__(self, open_table: Callable[[str], DataFrame]) -> None:
+        self._open_table = open_table
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        table = self._open_table(name)
+        setattr(self, name, table)
+        return table
 
 
 def from_files(
     spark: SparkSession, root: str, fmt: str = "parquet", **options: str
 ) -> Marketplace:
     """Tables stored as ``root/<table>`` in any file format Spark reads."""
-    reader = spark.read.format(fmt).options(**options)
     return Marketplace(
-        **{f.name: reader.schema(SCHEMAS[f.name]).load(f"{root}/{f.name}") for f in fields(Marketplace)}
+        lambda name: spark.read.format(fmt)
+        .options(**options)
+        .schema(SCHEMAS[name])
+        .load(f"{root}/{name}")
     )
 
 
 def from_catalog(spark: SparkSession, database: str | None = None) -> Marketplace:
     """Tables (or views) of a catalog database; the current one when not named."""
     prefix = f"{database}." if database else ""
-    return Marketplace(**{f.name: spark.table(prefix + f.name) for f in fields(Marketplace)})
+    return Marketplace(lambda name: spark.table(prefix + name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,46 +23,36 @@ STAR_CONFIG = Config(
     ),
 )
 
-# fixed values: the e-mail lists
-SEGMENT_LISTS = {"ATACADO": (1, 2, 4), "MINIMARKET": (5, 6)}
-
 
 @lru_cache(maxsize=256)
 def _schema(spark: SparkSession, path: str) -> StructType:
     return spark.read.parquet(path).schema
 
 
-def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    path = f"{root}/{name}.parquet"
-    return spark.read.schema(_schema(spark, path)).parquet(path)
-
-
 def from_star(spark: SparkSession, root: str) -> Marketplace:
-    orders = _table(spark, root, "orders")
-    customer = _table(spark, root, "customer")
-    places = _places(_table(spark, root, "nation"), _table(spark, root, "region"))
-    return Marketplace(
-        pedidos=_pedidos(orders, _table(spark, root, "lineitem")),
-        comercios=_comercios(_table(spark, root, "supplier")),
-        clientes=_clientes(customer, orders),
-        enderecos=_enderecos(orders, customer, places),
-        analytics_app=_analytics_app(_table(spark, root, "events")),
-        segments=_segments(spark),
-    )
-
-
-def _email(key: Column) -> Column:
-    return F.concat(F.lit("Customer"), key.cast("string"), F.lit("@Example.com"))
+    """The marketplace tables over ``root/<star table>.parquet``."""
 
+    def star(name: str) -> DataFrame:
+        path = f"{root}/{name}.parquet"
+        return spark.read.schema(_schema(spark, path)).parquet(path)
 
-def _money(amount: Column) -> Column:
-    return amount.cast("decimal(12,2)")
+    builders = {
+        "pedidos": lambda: _pedidos(star("orders"), star("lineitem")),
+        "comercios": lambda: _comercios(star("supplier")),
+        "clientes": lambda: _clientes(star("customer"), star("orders")),
+        "enderecos": lambda: _enderecos(
+            star("orders"), star("customer"), star("nation"), star("region")
+        ),
+        "analytics_app": lambda: _analytics_app(star("events")),
+        "segments": lambda: _segments(spark),
+    }
+    return Marketplace(lambda name: builders[name]())
 
 
 def _comercios(supplier: DataFrame) -> DataFrame:
-    test = F.when(F.col("s_suppkey") % 10 == 0, " - Test").otherwise("")
-    return supplier.select(
-        F.col("s_suppkey").alias("id"), F.concat("s_name", test).alias("nome_fantasia")
+    return supplier.selectExpr(
+        "s_suppkey AS id",
+        "s_name || IF(s_suppkey % 10 = 0, ' - Test', '') AS nome_fantasia",
     )
 
 
@@ -72,85 +62,82 @@ def _pedidos(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     The schema defines a customer's name by its key, so it takes no join.
     """
     sellers = lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("comercio_id"))
-    name = F.format_string("Customer#%09d", "o_custkey")
-    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    refused = (status == "F") & (F.col("o_orderpriority") == "5-LOW")
-    return (
-        orders.join(sellers, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .select(
-            key.alias("id"),
-            F.col("o_custkey").alias("cliente_id"),
-            F.concat(name, F.when(key % 10 == 0, " B").otherwise("")).alias("nome"),
-            _email(F.col("o_custkey")).alias("email"),
-            _money(F.col("o_totalprice")).alias("valor"),
-            _money(key % 50).alias("frete"),
-            "comercio_id",
-            F.when(key % 41 == 0, None)
-            .when(status == "P", "Cancelado")
-            .when(refused, "Pagamento recusado")
-            .otherwise("Entregue")
-            .alias("status"),
-            F.col("o_orderdate").cast("timestamp_ntz").alias("time"),
-        )
+    return orders.join(sellers, orders["o_orderkey"] == sellers["l_orderkey"], "left").selectExpr(
+        "o_orderkey AS id",
+        "o_custkey AS cliente_id",
+        "format_string('Customer#%09d', o_custkey) || IF(o_orderkey % 10 = 0, ' B', '') AS nome",
+        "'Customer' || o_custkey || '@Example.com' AS email",
+        "CAST(o_totalprice AS DECIMAL(12,2)) AS valor",
+        "CAST(o_orderkey % 50 AS DECIMAL(12,2)) AS frete",
+        "comercio_id",
+        """CASE WHEN o_orderkey % 41 = 0 THEN NULL
+                WHEN o_orderstatus = 'P' THEN 'Cancelado'
+                WHEN o_orderstatus = 'F' AND o_orderpriority = '5-LOW' THEN 'Pagamento recusado'
+                ELSE 'Entregue' END AS status""",
+        "CAST(o_orderdate AS TIMESTAMP_NTZ) AS time",
     )
 
 
 def _clientes(customer: DataFrame, orders: DataFrame) -> DataFrame:
     since = orders.groupBy("o_custkey").agg(F.min("o_orderdate").alias("since"))
-    key = F.col("c_custkey")
-    text = key.cast("string")
-    return customer.join(since, key == F.col("o_custkey"), "left").select(
-        key.alias("id"),
-        F.concat(F.lit("Nome"), (key % 20).cast("string")).alias("nome"),
-        F.when(key % 31 != 0, F.col("c_mktsegment")).alias("sobrenome"),
-        F.when(key % 50 == 0, "deleted").when(key % 101 != 0, _email(key)).alias("email"),
-        F.concat(F.lit("11-9"), F.lpad(text, 9, "0"), F.lit("-0")).alias("celular"),
-        F.when(key % 3 != 0, text).alias("cpf"),
-        F.when(key % 3 == 0, F.concat(text, F.lit("/0001"))).alias("cnpj"),
-        F.when(key % 3 == 0, "J").otherwise("F").alias("tipo_pessoa"),
-        F.when(F.col("c_acctbal") < 0, "Inativo").otherwise("Ativo").alias("status"),
-        F.col("since").cast("timestamp_ntz").alias("time"),
+    return customer.join(since, customer["c_custkey"] == since["o_custkey"], "left").selectExpr(
+        "c_custkey AS id",
+        "'Nome' || c_custkey % 20 AS nome",
+        "IF(c_custkey % 31 = 0, NULL, c_mktsegment) AS sobrenome",
+        """CASE WHEN c_custkey % 50 = 0 THEN 'deleted'
+                WHEN c_custkey % 101 = 0 THEN NULL
+                ELSE 'Customer' || c_custkey || '@Example.com' END AS email""",
+        "'11-9' || lpad(CAST(c_custkey AS STRING), 9, '0') || '-0' AS celular",
+        "IF(c_custkey % 3 = 0, NULL, CAST(c_custkey AS STRING)) AS cpf",
+        "IF(c_custkey % 3 = 0, c_custkey || '/0001', NULL) AS cnpj",
+        "IF(c_custkey % 3 = 0, 'J', 'F') AS tipo_pessoa",
+        "IF(c_acctbal < 0, 'Inativo', 'Ativo') AS status",
+        "CAST(since AS TIMESTAMP_NTZ) AS time",
     )
 
 
-def _places(nation: DataFrame, region: DataFrame) -> DataFrame:
-    return nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left").select(
-        F.col("n_nationkey").cast("bigint").alias("place_id"), "n_name", "r_name"
-    )
-
-
-def _enderecos(orders: DataFrame, customer: DataFrame, places: DataFrame) -> DataFrame:
+def _enderecos(
+    orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame
+) -> DataFrame:
     """One address per order, for six customers in seven."""
-    key = F.col("o_orderkey")
-    owners = customer.select("c_custkey", "c_nationkey")
-    return (
-        orders.where(F.col("o_custkey") % 7 != 0)
-        .join(owners, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(places, (F.col("c_nationkey") + key) % 25 == F.col("place_id"), "left")
-        .select(
-            key.alias("id"),
-            F.col("o_custkey").alias("cliente_id"),
-            (key % 97).cast("string").alias("cep"),
-            F.col("o_orderpriority").alias("bairro"),
-            F.when(key % 29 != 0, F.col("n_name")).alias("cidade"),
-            F.when(key % 37 == 0, "1").otherwise(F.col("r_name")).alias("estado"),
-        )
+    # 25 nations in 5 regions, fixed by the schema: small enough to broadcast at any scale
+    places = F.broadcast(
+        nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left")
+    )
+    owned = orders.where("o_custkey % 7 <> 0").join(
+        customer, orders["o_custkey"] == customer["c_custkey"], "left"
+    )
+    place_key = (owned["c_nationkey"] + owned["o_orderkey"]) % 25
+    return owned.join(places, place_key == places["n_nationkey"], "left").selectExpr(
+        "o_orderkey AS id",
+        "o_custkey AS cliente_id",
+        "CAST(o_orderkey % 97 AS STRING) AS cep",
+        "o_orderpriority AS bairro",
+        "IF(o_orderkey % 29 = 0, NULL, n_name) AS cidade",
+        "IF(o_orderkey % 37 = 0, '1', r_name) AS estado",
     )
 
 
 def _analytics_app(events: DataFrame) -> DataFrame:
-    user = F.col("user_id")
-    shifted = F.date_add(F.to_date("ts"), ((user % 12) * 30).cast("int"))
-    return events.groupBy(F.when(user % 50 != 0, shifted).alias("data")).agg(
-        F.count_if(F.col("event_type") == "view").alias("total_visitas"),
-        F.count_if(F.col("event_type") == "signup").alias("total_downloads"),
+    dated = events.selectExpr(
+        """IF(user_id % 50 = 0, NULL,
+              date_add(CAST(ts AS DATE), CAST(user_id % 12 * 30 AS INT))) AS data""",
+        "event_type",
+    )
+    return dated.groupBy("data").agg(
+        F.expr("count_if(event_type = 'view')").alias("total_visitas"),
+        F.expr("count_if(event_type = 'signup')").alias("total_downloads"),
     )
 
 
 def _segments(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(
-        f"('customer{key}@example.com', '{segment}')"
-        for segment, keys in SEGMENT_LISTS.items()
-        for key in keys
+    # fixed values: the e-mail lists
+    return spark.sql(
+        """SELECT * FROM VALUES
+             ('customer1@example.com', 'ATACADO'),
+             ('customer2@example.com', 'ATACADO'),
+             ('customer4@example.com', 'ATACADO'),
+             ('customer5@example.com', 'MINIMARKET'),
+             ('customer6@example.com', 'MINIMARKET')
+           AS segments(email, segment)"""
     )
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS segments(email, segment)")
