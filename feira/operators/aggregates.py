@@ -35,18 +35,13 @@ def monthly(df: DataFrame, month: str | Column, *aggs: Column, keep_month: bool
     return labelled.select("mes_ano", *(["mes"] if keep_month else []), *values)
 
 
-def per_client(df: DataFrame, partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
+def per_client(df: DataFrame, *aggs: Column) -> DataFrame:
     """Aggregate per client next to one name and e-mail, the smallest of each.
 
-    Rows first collapse per (client, name, e-mail), where a hash aggregate
-    works; only the collapsed rows reach the string minimum, which needs a
-    sort. ``partial`` and ``final`` give the two halves of each aggregate.
+    The string minima make this a sort aggregate. It still combines before the
+    one shuffle, and measured faster than hashing by (client, name, e-mail)
+    first or than joining the names on afterwards, which shuffle twice.
     """
-    names = df.groupBy("cliente_id", "nome", "email").agg(
-        *(agg.alias(name) for name, agg in partial.items())
-    )
-    return names.groupBy("cliente_id").agg(
-        F.min("nome").alias("nome"),
-        F.min("email").alias("email"),
-        *(agg.alias(name) for name, agg in final.items()),
+    return df.groupBy("cliente_id").agg(
+        F.min("nome").alias("nome"), F.min("email").alias("email"), *aggs
     )

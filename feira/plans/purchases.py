@@ -37,30 +37,21 @@ def buyers_total(purchases: DataFrame, cfg: Config) -> DataFrame:
 
 
 def orders_per_client(purchases: DataFrame, cfg: Config) -> DataFrame:
-    counts = per_client(
-        valid_purchases(purchases, cfg),
-        {"n": F.count("compra_id")},
-        {"qtd_compra": F.sum("n")},
-    )
+    valid = valid_purchases(purchases, cfg)
+    counts = per_client(valid, F.count("compra_id").alias("qtd_compra"))
     return counts.orderBy(F.desc("qtd_compra"), "cliente_id")
 
 
 def spend_per_client(purchases: DataFrame, cfg: Config) -> DataFrame:
-    totals = per_client(
-        valid_purchases(purchases, cfg),
-        {"soma": F.sum("valor")},
-        {"valor_total_compras": total("soma")},
-    )
+    valid = valid_purchases(purchases, cfg)
+    totals = per_client(valid, total("valor").alias("valor_total_compras"))
     return totals.orderBy(F.desc("valor_total_compras"), "cliente_id")
 
 
 def client_recency(purchases: DataFrame, cfg: Config) -> DataFrame:
     """Days since each client's latest valid purchase, most recent first."""
-    latest = per_client(
-        valid_purchases(purchases, cfg),
-        {"ultima": F.max("dia")},
-        {"data_ultima_compra": F.max("ultima")},
-    )
+    valid = valid_purchases(purchases, cfg)
+    latest = per_client(valid, F.max("dia").alias("data_ultima_compra"))
     return _with_recency(latest, cfg)
 
 

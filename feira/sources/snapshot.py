@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feira.functions.dates import iso_date, month_start, parse_day_month_year, quarter_token
 from feira.plans.curated import PERIOD_COLUMNS
@@ -67,16 +66,3 @@ def from_report_snapshot(snapshot: DataFrame) -> DataFrame:
         ano.alias("ano"),
         trimestre.alias("trimestre"),
     )
-
-
-def write_snapshot(curated: DataFrame, path: str) -> None:
-    """Write the text form as CSV with a header, full refresh."""
-    to_report_snapshot(curated).write.mode("overwrite").csv(path, header=True, nullValue="\\N")
-
-
-def read_snapshot(template: DataFrame, path: str) -> DataFrame:
-    """Read a CSV written from a table shaped like ``template``."""
-    names = [c for c in template.columns if c not in PERIOD_COLUMNS]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    text = template.sparkSession.read.schema(schema).csv(path, header=True, nullValue="\\N")
-    return from_report_snapshot(text)
