@@ -17,7 +17,7 @@ import oracle_queries  # noqa: E402
 from feira.config import Config  # noqa: E402
 from feira.operators.period import in_quarter_tokens  # noqa: E402
 from feira.plans import curated, funnel, purchases, signups, traffic, warehouse  # noqa: E402
-from feira.session import shared_folder, tune  # noqa: E402
+from feira.session import shared_folder, stored_bytes, tune  # noqa: E402
 from feira.sources.marketplace import Marketplace  # noqa: E402
 from feira.sources.snapshot import from_report_snapshot, to_report_snapshot  # noqa: E402
 from feira.sources.star import STAR_CONFIG, from_star  # noqa: E402
@@ -29,9 +29,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 @lru_cache(maxsize=32)
+def _open(spark: SparkSession, sf_dir: str) -> tuple[Marketplace, int]:
+    """The source tables of a folder, opened once per session like catalog tables, and its size."""
+    return from_star(spark, sf_dir), stored_bytes(spark, sf_dir)
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> Marketplace:
-    """The source tables of a folder, opened once per session like catalog tables."""
-    return from_star(spark, sf_dir)
+    market, size = _open(spark, sf_dir)
+    tune(spark, size)
+    return market
 
 
 @lru_cache(maxsize=32)
@@ -45,7 +51,7 @@ def _clientes(m: Marketplace, cfg: Config = CFG) -> DataFrame:
 
 
 def _on_source(build: Callable[[Marketplace], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(_tables(tune(spark), sf_dir))
+    return lambda spark, sf_dir: build(_tables(spark, sf_dir))
 
 
 def _on_compras(report: Callable[..., DataFrame], **options) -> Query:
@@ -58,25 +64,22 @@ def _on_clientes(report: Callable[..., DataFrame], **options) -> Query:
 
 def _stored(store: Callable[[Marketplace, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return store(_tables(tune(spark), sf_dir), shared_folder(spark, "feira"))
+        return store(_tables(spark, sf_dir), shared_folder(spark, "feira"))
 
     return run
 
 
 def _literal_quarter_filter(m: Marketplace) -> DataFrame:
     """Valid orders matched by each spelling of the quarter tokens."""
-    valid = _compras(m).where("status_pedido = 1").select("compra_id", "quarter")
-    quarters = CFG.windows.purchases
+    valid = _compras(m).where(F.col("status_pedido") == 1)
     matched = {
-        name: in_quarter_tokens(valid, [f"{q}{sep}{year}" for year, q in quarters])
+        name: in_quarter_tokens(f"{q}{sep}{year}" for year, q in CFG.windows.purchases)
         for name, sep in (("pedidos_token_barra", "/"), ("pedidos_token_hifen", "-"))
     }
-    counts = [valid.agg(F.count("compra_id").alias("pedidos"))]
-    counts += [df.agg(F.count("compra_id").alias(name)) for name, df in matched.items()]
-    rows = counts[0]
-    for c in counts[1:]:
-        rows = rows.unionByName(c, allowMissingColumns=True)
-    return rows.agg(*(F.max(c).alias(c) for c in ("pedidos", *matched)))
+    return valid.agg(
+        F.count("compra_id").alias("pedidos"),
+        *(F.count(F.when(hit, F.col("compra_id"))).alias(name) for name, hit in matched.items()),
+    )
 
 
 def queries() -> dict[str, Query]:

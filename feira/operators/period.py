@@ -75,6 +75,6 @@ def _partition_expr(quarters: list[Quarter]) -> Column:
     return reduce(or_, years, F.lit(False))
 
 
-def in_quarter_tokens(df: DataFrame, tokens: Iterable[str]) -> DataFrame:
-    """Rows whose ``quarter`` text is one of ``tokens``, compared as it stands."""
-    return df.where(F.col("quarter").isin(list(tokens)))
+def in_quarter_tokens(tokens: Iterable[str]) -> Column:
+    """Condition: the ``quarter`` text is one of ``tokens``, compared as it stands."""
+    return F.col("quarter").isin(list(tokens))

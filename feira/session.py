@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Joins carry no broadcast hints: Catalyst compares the estimated size with
 # spark.sql.autoBroadcastJoinThreshold and AQE compares the measured one. Past
@@ -18,14 +20,35 @@ SKEW_SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Turn on runtime skew handling; leaves sizes and parallelism to the cluster."""
+# One shuffle partition per this much stored input: the plans shuffle a few
+# narrow columns of each row. The upper limit keeps the number of shuffle
+# blocks (map tasks x partitions) within reach.
+INPUT_BYTES_PER_PARTITION = 1 << 30
+MAX_PARTITIONS = 40_000
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    """Turn on runtime skew handling and size shuffles for ``input_bytes``.
+
+    Shuffles start at least as wide as the session's own setting; AQE merges
+    partitions that turn out small.
+    """
     for name, value in SKEW_SETTINGS.items():
         if spark.conf.get(name) != value:
             spark.conf.set(name, value)
+    wanted = min(math.ceil(input_bytes / INPUT_BYTES_PER_PARTITION), MAX_PARTITIONS)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
     return spark
 
 
+def stored_bytes(spark: SparkSession, root: str) -> int:
+    """Size of all files under ``root``, from the listing; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one the cluster names in ``spark.checkpoint.dir``.
 

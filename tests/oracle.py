@@ -8,10 +8,10 @@ import duckdb
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
 
-def connect(sf_dir):
+def connect(sf_dir, files=""):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet{files}'")
     return con
 
 
