@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import date
-from functools import reduce
 from itertools import groupby
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +21,15 @@ def with_period(df: DataFrame, ts: str, date_text: str) -> DataFrame:
     output.
     """
     t = F.col(ts)
+    year, quarter = F.year(t), F.quarter(t)
     return df.withColumns(
         {
             date_text: iso_date(t),
-            "quarter": quarter_token(F.year(t), F.quarter(t)),
+            "quarter": quarter_token(year, quarter),
             "dia": F.to_date(t),
             "mes": month_start(t),
-            "ano": F.year(t),
-            "trimestre": F.quarter(t),
+            "ano": year,
+            "trimestre": quarter,
         }
     )
 
@@ -57,22 +56,22 @@ def in_quarters(df: DataFrame, quarters: Iterable[Quarter]) -> DataFrame:
     prunes the folders of a stored one.
     """
     quarters = sorted(set(quarters))
-    return df.where(in_quarters_expr(quarters)).where(_partition_expr(quarters))
+    years = [
+        f"(ano = {year} AND trimestre IN ({', '.join(str(q) for _, q in pairs)}))"
+        for year, pairs in groupby(quarters, lambda p: p[0])
+    ]
+    return df.where(in_quarters_expr(quarters)).where(_any(years))
 
 
-def in_quarters_expr(quarters: Iterable[Quarter], dia: str = "dia") -> Column:
+def in_quarters_expr(quarters: Iterable[Quarter]) -> Column:
     """Condition: DATE column ``dia`` lies inside one of the quarters."""
-    d = F.col(dia)
-    ranges = [(d >= F.lit(lo)) & (d < F.lit(hi)) for lo, hi in quarter_ranges(quarters)]
-    return reduce(or_, ranges, F.lit(False))
+    return F.expr(
+        _any(f"(dia >= DATE'{lo}' AND dia < DATE'{hi}')" for lo, hi in quarter_ranges(quarters))
+    )
 
 
-def _partition_expr(quarters: list[Quarter]) -> Column:
-    years = [
-        (F.col("ano") == year) & F.col("trimestre").isin([q for _, q in pairs])
-        for year, pairs in groupby(quarters, lambda p: p[0])
-    ]
-    return reduce(or_, years, F.lit(False))
+def _any(conditions: Iterable[str]) -> str:
+    return " OR ".join(conditions) or "false"
 
 
 def in_quarter_tokens(tokens: Iterable[str]) -> Column:

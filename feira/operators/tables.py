@@ -24,12 +24,26 @@ def refresh_table(
     inside each file by that column, which gives its statistics narrow ranges;
     a stored table has no global order.
     """
+    writer = _laid_out(df, partition_by, newest_first).write.mode("overwrite")
+    writer.partitionBy(*partition_by).parquet(path)
+    # the written order of columns differs: folder columns come last
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def create_table(
+    df: DataFrame, name: str, partition_by: Sequence[str] = (), newest_first: str | None = None
+) -> DataFrame:
+    """Drop catalog table ``name`` if it exists, create it from ``df`` and read it."""
+    writer = _laid_out(df, partition_by, newest_first).write.mode("overwrite").format("parquet")
+    writer.partitionBy(*partition_by).saveAsTable(name)
+    return df.sparkSession.table(name).select(*df.columns)
+
+
+def _laid_out(df: DataFrame, partition_by: Sequence[str], newest_first: str | None) -> DataFrame:
     out = df.hint("rebalance", *partition_by) if partition_by else df
     if newest_first:
         out = out.sortWithinPartitions(*partition_by, F.desc(newest_first))
-    out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    # the written order of columns differs: folder columns come last
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    return out
 
 
 def publish(spark: SparkSession, view: str, path: str) -> None:

@@ -21,25 +21,31 @@ SKEW_SETTINGS = {
 
 
 # One shuffle partition per this much stored input: the plans shuffle a few
-# narrow columns of each row. The upper limit keeps the number of shuffle
-# blocks (map tasks x partitions) within reach.
+# narrow columns of each row. The limit holds for shuffle partitions and for
+# map tasks, so that the blocks between them (their product) do not become tiny.
 INPUT_BYTES_PER_PARTITION = 1 << 30
 MAX_PARTITIONS = 40_000
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
+DEFAULT_SPLIT_BYTES = 128 << 20
 
 
 def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
-    """Turn on runtime skew handling and size shuffles for ``input_bytes``.
+    """Turn on runtime skew handling and size tasks for ``input_bytes``.
 
     Shuffles start at least as wide as the session's own setting; AQE merges
-    partitions that turn out small.
+    partitions that turn out small. Scan splits grow past the default only when
+    there would be too many of them.
     """
     for name, value in SKEW_SETTINGS.items():
         if spark.conf.get(name) != value:
             spark.conf.set(name, value)
-    wanted = min(math.ceil(input_bytes / INPUT_BYTES_PER_PARTITION), MAX_PARTITIONS)
-    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+    partitions = min(math.ceil(input_bytes / INPUT_BYTES_PER_PARTITION), MAX_PARTITIONS)
+    if partitions > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(INITIAL_PARTITIONS, str(partitions))
+    split = input_bytes // MAX_PARTITIONS
+    if split > DEFAULT_SPLIT_BYTES:
+        spark.conf.set(SPLIT_BYTES, str(split))
     return spark
 
 

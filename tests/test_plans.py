@@ -178,15 +178,19 @@ def test_parity_under_skew(spark, skewed, conf, name):
     compare(Q[name](spark, skewed), con, ORACLE[name])
 
 
-def test_shuffles_widen_with_the_input(spark, conf):
-    conf(adaptive__coalescePartitions__initialPartitionNum="8")
-    name = session.INITIAL_PARTITIONS
-    session.tune(spark, 1000)
-    assert spark.conf.get(name) == "8"
-    session.tune(spark, 3 << 40)
-    assert spark.conf.get(name) == "3072"
-    session.tune(spark, 100 << 40)
-    assert spark.conf.get(name) == "40000"
+def test_tasks_are_sized_from_the_input(spark, conf):
+    conf(
+        adaptive__coalescePartitions__initialPartitionNum="8",
+        files__maxPartitionBytes=str(session.DEFAULT_SPLIT_BYTES),
+    )
+
+    def tuned(input_bytes):
+        session.tune(spark, input_bytes)
+        return [int(spark.conf.get(n)) for n in (session.INITIAL_PARTITIONS, session.SPLIT_BYTES)]
+
+    assert tuned(1000) == [8, 128 << 20]
+    assert tuned(3 << 40) == [3072, 128 << 20]
+    assert tuned(100 << 40) == [40000, (100 << 40) // 40000]
 
 
 def test_stored_bytes(spark):

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 
 from feira.config import Config
-from feira.operators.tables import publish, refresh_table
+from feira.operators.tables import create_table, publish, refresh_table
 from feira.plans import purchases, warehouse
 from feira.plans.curated import curate_customers, curate_purchases
 from feira.session import shared_folder
@@ -124,6 +124,15 @@ def test_refresh_replaces(spark, tmp_path, market):
     assert sorted(rows(again), key=str) == sorted(rows(compras), key=str)
 
 
+def test_catalog_table_is_recreated(spark, market):
+    compras, _ = _curated(market)
+    create_table(compras.select("compra_id"), "compras_teste")
+    again = create_table(compras, "compras_teste", ("ano", "trimestre"), "compra_id")
+    assert sorted(rows(again), key=str) == sorted(rows(compras), key=str)
+    assert spark.sql("SELECT count(*) FROM compras_teste WHERE ano = 2022").first()[0] == 2
+    spark.sql("DROP TABLE compras_teste")
+
+
 def test_publish_swaps_versions(spark, tmp_path, market):
     compras, _ = _curated(market)
     refresh_table(compras.where("compra_id = 1"), str(tmp_path / "v1"))
