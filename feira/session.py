@@ -58,9 +58,12 @@ def stored_bytes(spark: SparkSession, root: str) -> int:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Without that setting a local session gets a temporary folder; on a cluster
+    every node must see the files, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder all nodes share")
         root = tempfile.mkdtemp(prefix="feira-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
