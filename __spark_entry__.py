@@ -51,7 +51,8 @@ def _clientes(m: Marketplace, cfg: Config = CFG) -> DataFrame:
 
 
 def _on_source(build: Callable[[Marketplace], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(_tables(spark, sf_dir))
+    # a new DataFrame each time: running a shared one again would reuse its shuffles
+    return lambda spark, sf_dir: build(_tables(spark, sf_dir)).select("*")
 
 
 def _on_compras(report: Callable[..., DataFrame], **options) -> Query:
