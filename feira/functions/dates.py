@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def iso_date(ts: Column) -> Column:
-    """``yyyy-MM-dd`` text."""
-    return F.date_format(ts, "yyyy-MM-dd")
+    """``yyyy-MM-dd`` text; the cast prints dates that way without a formatter."""
+    return F.to_date(ts).cast("string")
 
 
 def month_label(d: Column) -> Column:

@@ -65,7 +65,8 @@ def _pedidos(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return orders.join(sellers, orders["o_orderkey"] == sellers["l_orderkey"], "left").selectExpr(
         "o_orderkey AS id",
         "o_custkey AS cliente_id",
-        "format_string('Customer#%09d', o_custkey) || IF(o_orderkey % 10 = 0, ' B', '') AS nome",
+        """'Customer#' || lpad(CAST(o_custkey AS STRING), greatest(9, length(CAST(o_custkey AS STRING))), '0')
+           || IF(o_orderkey % 10 = 0, ' B', '') AS nome""",
         "'Customer' || o_custkey || '@Example.com' AS email",
         "CAST(o_totalprice AS DECIMAL(12,2)) AS valor",
         "CAST(o_orderkey % 50 AS DECIMAL(12,2)) AS frete",
