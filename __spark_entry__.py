@@ -20,7 +20,7 @@ from feira.plans import curated, funnel, purchases, signups, traffic, warehouse
 from feira.session import shared_folder, stored_bytes, tune  # noqa: E402
 from feira.sources.marketplace import Marketplace  # noqa: E402
 from feira.sources.snapshot import from_report_snapshot, to_report_snapshot  # noqa: E402
-from feira.sources.star import STAR_CONFIG, from_star  # noqa: E402
+from feira.sources.star import STAR_CONFIG, from_star, star_paths  # noqa: E402
 
 CFG = STAR_CONFIG
 BY_CLIENT = replace(STAR_CONFIG, dedup_key="client")
@@ -31,7 +31,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 @lru_cache(maxsize=32)
 def _open(spark: SparkSession, sf_dir: str) -> tuple[Marketplace, int]:
     """The source tables of a folder, opened once per session like catalog tables, and its size."""
-    return from_star(spark, sf_dir), stored_bytes(spark, sf_dir)
+    return from_star(spark, sf_dir), stored_bytes(spark, *star_paths(sf_dir))
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> Marketplace:

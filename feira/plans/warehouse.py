@@ -1,24 +1,26 @@
-"""Build and store the three derived tables."""
+"""Build, store and publish the three derived tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from feira.config import Config
-from feira.operators.tables import PERIOD_FOLDERS, refresh_table
+from feira.operators.tables import PERIOD_FOLDERS, publish, refresh_table
 from feira.plans.curated import curate_customers, curate_purchases
 from feira.plans.funnel import growth_funnel
 from feira.sources.marketplace import Marketplace
 
+PURCHASES, CUSTOMERS, FUNNEL = "analytics_compras", "analytics_clientes", "growth_funil"
+
 
 def store_purchases(m: Marketplace, root: str, cfg: Config) -> DataFrame:
     purchases = curate_purchases(m.pedidos, m.comercios, cfg)
-    return refresh_table(purchases, f"{root}/analytics_compras", PERIOD_FOLDERS, "compra_id")
+    return refresh_table(purchases, f"{root}/{PURCHASES}", PERIOD_FOLDERS, "compra_id")
 
 
 def store_customers(m: Marketplace, root: str, cfg: Config) -> DataFrame:
     customers = curate_customers(m.clientes, m.enderecos, m.segments, cfg)
-    return refresh_table(customers, f"{root}/analytics_clientes", PERIOD_FOLDERS, "cliente_id")
+    return refresh_table(customers, f"{root}/{CUSTOMERS}", PERIOD_FOLDERS, "cliente_id")
 
 
 def store_funnel(m: Marketplace, root: str, cfg: Config) -> DataFrame:
@@ -26,4 +28,10 @@ def store_funnel(m: Marketplace, root: str, cfg: Config) -> DataFrame:
     purchases = store_purchases(m, root, cfg)
     customers = store_customers(m, root, cfg)
     funnel = growth_funnel(m.analytics_app, customers, purchases, cfg)
-    return refresh_table(funnel, f"{root}/growth_funil")
+    return refresh_table(funnel, f"{root}/{FUNNEL}")
+
+
+def publish_tables(spark: SparkSession, root: str) -> None:
+    """Make the tables stored under ``root`` available to SQL by name."""
+    for name in (PURCHASES, CUSTOMERS, FUNNEL):
+        publish(spark, name, f"{root}/{name}")

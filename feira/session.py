@@ -49,9 +49,9 @@ def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
     return spark
 
 
-def stored_bytes(spark: SparkSession, root: str) -> int:
-    """Size of all files under ``root``, from the listing; no file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def stored_bytes(spark: SparkSession, *paths: str) -> int:
+    """Size of all files under ``paths``, from the listing; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
     return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 

@@ -24,6 +24,13 @@ STAR_CONFIG = Config(
 )
 
 
+TABLES = ("orders", "lineitem", "customer", "supplier", "nation", "region", "events")
+
+
+def star_paths(root: str) -> list[str]:
+    return [f"{root}/{name}.parquet" for name in TABLES]
+
+
 @lru_cache(maxsize=256)
 def _schema(spark: SparkSession, path: str) -> StructType:
     return spark.read.parquet(path).schema
