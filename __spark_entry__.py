@@ -51,8 +51,9 @@ def _clientes(m: Marketplace, cfg: Config = CFG) -> DataFrame:
 
 
 def _on_source(build: Callable[[Marketplace], DataFrame]) -> Query:
-    # a new DataFrame each time: running a shared one again would reuse its shuffles
-    return lambda spark, sf_dir: build(_tables(spark, sf_dir)).select("*")
+    # a new DataFrame each time: running a shared one again would reuse its shuffles.
+    # ``time`` repeats the columns derived from it
+    return lambda spark, sf_dir: build(_tables(spark, sf_dir)).drop("time")
 
 
 def _on_compras(report: Callable[..., DataFrame], **options) -> Query:
@@ -65,7 +66,7 @@ def _on_clientes(report: Callable[..., DataFrame], **options) -> Query:
 
 def _stored(store: Callable[[Marketplace, str], DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return store(_tables(spark, sf_dir), shared_folder(spark, "feira"))
+        return store(_tables(spark, sf_dir), shared_folder(spark, "feira")).drop("time")
 
     return run
 

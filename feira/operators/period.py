@@ -13,14 +13,14 @@ from feira.config import Quarter
 from feira.functions.dates import iso_date, month_start, quarter_token
 
 
-def with_period(df: DataFrame, ts: str, date_text: str) -> DataFrame:
-    """Add the calendar columns of timestamp ``ts``.
+def with_period(df: DataFrame, date_text: str) -> DataFrame:
+    """Add the calendar columns of timestamp column ``time``.
 
     ``dia`` and ``mes`` (DATE), ``ano`` and ``trimestre`` (INT) are the truth
     reports work on; ``date_text`` (ISO) and ``quarter`` (``Q-YYYY``) are for
     output.
     """
-    t = F.col(ts)
+    t = F.col("time")
     year, quarter = F.year(t), F.quarter(t)
     return df.withColumns(
         {
@@ -49,24 +49,30 @@ def _quarter_start(ordinal: int) -> date:
 
 
 def in_quarters(df: DataFrame, quarters: Iterable[Quarter]) -> DataFrame:
-    """Rows dated inside the quarters; undated rows are dropped.
+    """Rows whose ``(ano, trimestre)`` is one of the quarters.
 
-    Needs the columns of :func:`with_period`. The range on ``dia`` reaches the
-    scan of a raw table as a timestamp range, the test on ``(ano, trimestre)``
-    prunes the folders of a stored one.
+    On a stored table that prunes folders. A raw table has no such columns to
+    prune by, so the same period as a range on ``time`` (where the table keeps
+    it) goes along and reaches the scan; it lets rows without a time pass, for
+    the quarter alone decides.
     """
-    quarters = sorted(set(quarters))
-    years = [
-        f"(ano = {year} AND trimestre IN ({', '.join(str(q) for _, q in pairs)}))"
-        for year, pairs in groupby(quarters, lambda p: p[0])
-    ]
-    return df.where(in_quarters_expr(quarters)).where(_any(years))
+    if "time" in df.columns:
+        ranges = [
+            f"(time >= TIMESTAMP_NTZ'{lo}' AND time < TIMESTAMP_NTZ'{hi}')"
+            for lo, hi in quarter_ranges(quarters)
+        ]
+        df = df.where(_any([*ranges, "time IS NULL"]))
+    return df.where(in_quarters_expr(quarters))
 
 
 def in_quarters_expr(quarters: Iterable[Quarter]) -> Column:
-    """Condition: DATE column ``dia`` lies inside one of the quarters."""
+    """Condition: ``(ano, trimestre)`` is one of the quarters."""
+    years = groupby(sorted(set(quarters)), lambda p: p[0])
     return F.expr(
-        _any(f"(dia >= DATE'{lo}' AND dia < DATE'{hi}')" for lo, hi in quarter_ranges(quarters))
+        _any(
+            f"(ano = {year} AND trimestre IN ({', '.join(str(q) for _, q in pairs)}))"
+            for year, pairs in years
+        )
     )
 
 

@@ -12,7 +12,7 @@ from feira.operators.latest import ADDRESS_COLUMNS, first_per_address_key, lates
 from feira.operators.period import with_period
 from feira.operators.segments import segment_customers
 
-PERIOD_COLUMNS = ("dia", "mes", "ano", "trimestre")
+PERIOD_COLUMNS = ("time", "dia", "mes", "ano", "trimestre")
 
 PURCHASE_COLUMNS = (
     "compra_id",
@@ -56,7 +56,7 @@ def curate_purchases(pedidos: DataFrame, comercios: DataFrame, cfg: Config) -> D
     """Orders with their seller, validity flag and calendar columns."""
     sellers = mark_test_sellers(comercios, cfg).withColumnRenamed("id", "seller_id")
     orders = pedidos.join(sellers, pedidos["comercio_id"] == sellers["seller_id"], "left")
-    flagged = with_period(flag_valid_orders(orders, cfg), "time", "data_compra")
+    flagged = with_period(flag_valid_orders(orders, cfg), "data_compra")
     return flagged.withColumns(
         {"compra_id": F.col("id"), "email": F.lower("email")}
     ).select(*PURCHASE_COLUMNS)
@@ -75,7 +75,7 @@ def curate_customers(
     located = clients.join(latest, clients["cliente_id"] == latest["endereco_cliente_id"], "left")
     kept = first_per_address_key(located, cfg).where(not_in(F.col("email"), cfg.deleted_email))
     flagged = flag_active_customers(segment_customers(kept, segments, cfg), cfg)
-    return with_period(flagged, "time", "data_cadastro").withColumns(
+    return with_period(flagged, "data_cadastro").withColumns(
         {
             "nome_completo": full_name(F.col("nome"), F.col("sobrenome")),
             "email": F.lower("email"),

@@ -26,7 +26,7 @@ STAMPS = [
 
 def _dated(spark):
     df = spark.createDataFrame([(t,) for t in STAMPS], "time timestamp_ntz")
-    return with_period(df, "time", "data")
+    return with_period(df, "data")
 
 
 def test_calendar_columns(spark):
