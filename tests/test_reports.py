@@ -145,6 +145,24 @@ def test_count_by_collation(spark):
     assert folded == [0, 1, 2]
 
 
+def test_reports_follow_the_collation(spark):
+    cfg = replace(CFG, text_collation="UNICODE_CI_AI")
+    shops = comercios(spark, (1, "Pão"), (2, "PAO"))
+    at = datetime(2022, 5, 1)
+    orders = pedidos(
+        spark, (1, 1, "José", "1", 1, "Entregue", at), (2, 1, "JOSE", "2", 2, "CANCELADO", at),
+        (3, 1, "jose", "3", 2, "Entregue", at),
+    )
+    compras = curate_purchases(orders, shops, cfg)
+    assert [tuple(r)[1:] for r in purchases.seller_sales(compras, cfg).collect()] == [
+        (2, Decimal("4.00"))
+    ]
+    assert [r.compra_id for r in purchases.last_purchase_per_client(compras, cfg).collect()] == [3]
+    binary = curate_purchases(orders, shops, CFG)
+    assert purchases.seller_sales(binary, CFG).count() == 2
+    assert purchases.last_purchase_per_client(binary, CFG).count() == 3
+
+
 def test_traffic(spark):
     days = app(spark, (date(2022, 1, 1), 3, 1), (date(2022, 1, 9), 4, None), (None, 5, 2),
                (date(2023, 1, 9), 1, 1))

@@ -1,3 +1,4 @@
+import tempfile
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -187,6 +188,19 @@ def test_warehouse(spark, tmp_path, market):
 
 
 def test_shared_folder_follows_the_session(spark):
-    root = spark.conf.get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     first, second = shared_folder(spark, "t"), shared_folder(spark, "t")
-    assert first.startswith(f"{root}/t-") and first != second
+    assert first != second
+    assert first.startswith(f"{root.rstrip('/')}/t-" if root else tempfile.gettempdir())
+
+
+def test_cluster_needs_a_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        shared_folder(Cluster, "t")
