@@ -52,16 +52,16 @@ def in_quarters(df: DataFrame, quarters: Iterable[Quarter]) -> DataFrame:
     """Rows whose ``(ano, trimestre)`` is one of the quarters.
 
     On a stored table that prunes folders. A raw table has no such columns to
-    prune by, so the same period as a range on ``time`` (where the table keeps
-    it) goes along and reaches the scan; it lets rows without a time pass, for
-    the quarter alone decides.
+    prune by, so the same period as a range on ``time`` (where the table has
+    it) goes along and reaches the scan.
     """
+    quarters = set(quarters)
     if "time" in df.columns:
         ranges = [
             f"(time >= TIMESTAMP_NTZ'{lo}' AND time < TIMESTAMP_NTZ'{hi}')"
             for lo, hi in quarter_ranges(quarters)
         ]
-        df = df.where(_any([*ranges, "time IS NULL"]))
+        df = df.where(_any(ranges))
     return df.where(in_quarters_expr(quarters))
 
 

@@ -1,0 +1,23 @@
+"""Spread the rows of one join key over several partitions.
+
+Both sides join on the key and the salt: every row of the large side gets one
+salt, every row of the small side is copied once per salt, so each pair still
+meets exactly once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALT = "sal"
+
+
+def spread(df: DataFrame, salts: int, *columns: str) -> DataFrame:
+    """Add the salt of each row, from a hash of ``columns``: the same on every retry."""
+    return df.withColumn(SALT, F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))
+
+
+def copies(df: DataFrame, salts: int) -> DataFrame:
+    """One copy of each row per salt."""
+    return df.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

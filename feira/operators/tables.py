@@ -21,8 +21,8 @@ def refresh_table(
     Rows are rebalanced by the folder columns: AQE splits a quarter that holds
     much of the table over many tasks and packs small ones together, so files
     come out near the advisory size whatever the skew. ``newest_first`` sorts
-    inside each file by that column, which gives its statistics narrow ranges;
-    a stored table has no global order.
+    inside each file by that column, which gives its row groups narrow ranges; a
+    stored table has no global order.
     """
     writer = _laid_out(df, partition_by, newest_first).write.mode("overwrite")
     writer.partitionBy(*partition_by).parquet(path)

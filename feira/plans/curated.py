@@ -10,6 +10,7 @@ from feira.functions.text import full_name, not_in, strip_hyphens
 from feira.operators.flags import flag_active_customers, flag_valid_orders, mark_test_sellers
 from feira.operators.latest import ADDRESS_COLUMNS, first_per_address_key, latest_addresses
 from feira.operators.period import with_period
+from feira.operators.salting import SALT, copies, spread
 from feira.operators.segments import segment_customers
 
 PERIOD_COLUMNS = ("time", "dia", "mes", "ano", "trimestre")
@@ -84,9 +85,11 @@ def curate_customers(
     ).select(*CUSTOMER_COLUMNS)
 
 
-def customer_segments(clientes: DataFrame, segments: DataFrame, cfg: Config) -> DataFrame:
+def customer_segments(
+    clientes: DataFrame, segments: DataFrame, cfg: Config, salts: int = 1
+) -> DataFrame:
     """Every client with its segment."""
-    return segment_customers(clientes, segments, cfg).select(
+    return segment_customers(clientes, segments, cfg, salts).select(
         F.col("id").alias("cliente_id"), F.lower("email").alias("email"), "cpf", "purchase_type"
     )
 
@@ -115,7 +118,6 @@ def customer_purchases(customers: DataFrame, purchases: DataFrame, salts: int =
     )
     keys = ["cliente_id"]
     if salts > 1:
-        cl = cl.withColumn("sal", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        cp = cp.withColumn("sal", F.pmod(F.xxhash64("compra_id"), F.lit(salts)).cast("int"))
-        keys.append("sal")
-    return cl.join(cp, keys, "inner").drop("sal")
+        cl, cp = copies(cl, salts), spread(cp, salts, "compra_id")
+        keys.append(SALT)
+    return cl.join(cp, keys, "inner").drop(SALT)

@@ -44,8 +44,8 @@ def from_report_snapshot(snapshot: DataFrame) -> DataFrame:
     """Parse the text form back into a typed curated table.
 
     Text that does not parse becomes NULL. The quarter columns come from the
-    quarter text; day, month and time (midnight) from the date text. A row may
-    so be inside a quarter without having a date.
+    quarter text, day and month from the date text; there is no ``time``, so
+    the quarter text alone decides which period a row is in.
     """
     date_text = next(c for c in DATE_TEXT_COLUMNS if c in snapshot.columns)
     parts = F.split("quarter", "/")
@@ -62,7 +62,6 @@ def from_report_snapshot(snapshot: DataFrame) -> DataFrame:
 
     return snapshot.select(
         *(parse(c).alias(c) for c in snapshot.columns),
-        dia.cast("timestamp_ntz").alias("time"),
         dia.alias("dia"),
         month_start(dia).alias("mes"),
         ano.alias("ano"),

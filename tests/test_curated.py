@@ -4,7 +4,12 @@ from datetime import datetime
 import pytest
 
 from feira.config import Config
-from feira.plans.curated import curate_customers, curate_purchases, customer_purchases
+from feira.plans.curated import (
+    curate_customers,
+    curate_purchases,
+    customer_purchases,
+    customer_segments,
+)
 from tables import T0, cliente, clientes, comercios, enderecos, pedidos, rows, segments
 
 CFG = Config()
@@ -51,10 +56,12 @@ def test_segments(spark):
         cliente(5, email="other@mail.com"),
         cliente(6, email="other@mail.com", cpf=None),
     ]
+    want = ["ATACADO", "MINIMARKET", "ATACADO", "ATACADO", "VAREJO", "ATACADO"]
     got = _customers(spark, cl, [(i, i, "1") for i in range(1, 7)], lists).orderBy("cliente_id")
-    assert [r.purchase_type for r in got.collect()] == [
-        "ATACADO", "MINIMARKET", "ATACADO", "ATACADO", "VAREJO", "ATACADO",
-    ]
+    assert [r.purchase_type for r in got.collect()] == want
+    for salts in (1, 4):
+        alone = customer_segments(clientes(spark, *cl), segments(spark, *lists), CFG, salts)
+        assert [r.purchase_type for r in alone.orderBy("cliente_id").collect()] == want
 
 
 def test_active_flag_name_and_phone(spark):

@@ -73,7 +73,7 @@ def test_gmv_reads_what_it_needs(spark, conf):
 def test_unused_address_columns_cost_nothing(spark):
     text = plan(Q["signups_total"](spark, SF))
     assert "n_name" not in text and "r_name" not in text
-    assert "SortAggregate" not in text
+    assert "SortAggregate" not in text and "LocalTableScan" not in text
     # customers and orders are read, orders twice
     assert len(scans(text)) == 3
 
