@@ -9,6 +9,7 @@ from conftest import TESTDATA
 from feira import session
 from feira.operators.tables import PERIOD_FOLDERS, refresh_table
 from feira.plans import purchases
+from feira.plans.curated import customer_segments
 from oracle import connect, compare
 from pyspark.sql import functions as F
 
@@ -170,6 +171,17 @@ def test_hot_keys_are_split_past_the_broadcast_size(spark, skewed, conf, name, j
     assert any(join_key in line for line in splits)
 
 
+def test_long_email_list_spreads_the_deleted_clients(spark, skewed, conf):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__coalescePartitions__enabled="false")
+    market = contract.from_star(spark, skewed)
+    gone = market.clientes.withColumn("email", F.when(F.col("id") >= 0, "deleted"))
+    df = customer_segments(gone, market.segments, contract.CFG, salts=4)
+    assert re.search(r"Exchange hashpartitioning\(lista_email#\d+, sal#", plan(df))
+    parts = df.select("cliente_id", F.spark_partition_id().alias("p")).groupBy("p").count()
+    counts = [r["count"] for r in parts.collect()]
+    assert sum(counts) == 1500 and max(counts) < 1500
+
+
 @pytest.mark.parametrize("name", ["curated_customers", "customer_purchases_by_client",
                                   "seller_sales", "orders_per_client", "growth_funnel"])
 def test_parity_under_skew(spark, skewed, conf, name):
