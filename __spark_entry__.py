@@ -22,6 +22,20 @@ from feira.sources.marketplace import Marketplace  # noqa: E402
 from feira.sources.snapshot import from_report_snapshot, to_report_snapshot  # noqa: E402
 from feira.sources.star import STAR_CONFIG, from_star, star_paths  # noqa: E402
 
+# The text operators are optional: without their folder the rest works as it is.
+try:
+    from feira.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name != "feira.llm":
+        raise
+    llm_queries = None
+try:
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "feira.llm"):
+        raise
+    corpus_pipeline = None
+
 CFG = STAR_CONFIG
 BY_CLIENT = replace(STAR_CONFIG, dedup_key="client")
 
@@ -84,7 +98,8 @@ def _literal_quarter_filter(m: Marketplace) -> DataFrame:
     )
 
 
-def queries() -> dict[str, Query]:
+def report_queries() -> dict[str, Query]:
+    """The queries on marketplace tables."""
     return {
         # curated tables
         "curated_purchases": _on_source(_compras),
@@ -150,8 +165,16 @@ def queries() -> dict[str, Query]:
     }
 
 
+def queries() -> dict[str, Query]:
+    return report_queries() | (llm_queries.queries() if llm_queries else {}) | (
+        {"pipeline": corpus_pipeline.run} if corpus_pipeline else {}
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    return oracle_queries.oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {}) | (
+        {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline and corpus_pipeline.ORACLE_SQL else {}
+    )
 
 
 def entry(spark: SparkSession) -> DataFrame:

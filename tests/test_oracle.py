@@ -2,10 +2,11 @@ import pytest
 from oracle import connect, compare
 
 import __spark_entry__ as contract
+import oracle_queries
 from conftest import TESTDATA
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = contract.report_queries()
+ORACLE = oracle_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module", params=["sf0.001", "sf0.01"])

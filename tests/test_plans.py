@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+import oracle_queries
 from conftest import TESTDATA
 from feira import session
 from feira.operators.tables import PERIOD_FOLDERS, refresh_table
@@ -13,8 +14,8 @@ from feira.plans.curated import customer_segments
 from oracle import connect, compare
 from pyspark.sql import functions as F
 
-Q = contract.queries()
-ORACLE = contract.oracle_sql()
+Q = contract.report_queries()
+ORACLE = oracle_queries.oracle_sql()
 SF = str(TESTDATA / "sf0.001")
 
 
