@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import decontaminate, quality, sharding
+import public_tokenizers
+
+from feira.llm import bpe, classifier, decontaminate, line_dedup, quality, sharding, token_scan, warc, store
+
+VOCABULARY = "byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +20,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bpe.encode(_table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path(VOCABULARY))
+    return got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def held_out(doc_id: str) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    weights = classifier.train(documents, "doc_id", "text", labels, "doc_id", "quality", ~held_out("doc_id"))
+    scored = classifier.score(documents, "doc_id", "text", weights)
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.document_token_counts(
+        _table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path(VOCABULARY), "<|endoftext|>"
+    )
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = store.scratch(spark, "warc")
+    archives = warc.write_archives(
+        _table(spark, sf_dir, "pages"), "page_id", "url", "html", folder, "2024-01-01T00:00:00Z"
+    )
+    return warc.read_archives(archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select(
+        "page_id",
+        line_dedup.host_of(F.col("url")).alias("host"),
+        line_dedup.page_text(F.col("html")).alias("kept_text"),
+    )
+    lines = F.size(F.split("kept_text", "\n", -1)).cast("long")
+    before = pages.withColumn("n_lines", lines)
+    return line_dedup.drop_boilerplate(before, "kept_text", F.col("host")).select(
+        "page_id", "host", "n_lines", "kept_text"
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.annotate(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return got.select(
@@ -45,6 +99,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_bpe": op1_bpe,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_token_counts": op4_token_counts,
+        "op5_warc": op5_warc,
+        "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_sharding": op9_sharding,
         "op10_decontamination": op10_decontamination,
