@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from feira.llm import bpe, classifier, decontaminate, line_dedup, quality, sharding, token_scan, warc, store
+from feira.llm import bpe, classifier, decontaminate, line_dedup, minhash, quality, sharding, token_scan, warc, store
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -57,6 +57,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The query's links: three words, 85 percent.
+NEAR = minhash.Similarity(words=3, percent=85, bands=24, rows=6)
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.annotate(_table(spark, sf_dir, "documents"), "doc_id", "text", NEAR)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select(
         "page_id",
@@ -103,6 +111,7 @@ def queries() -> dict[str, Query]:
         "op3_quality_classifier": op3_quality_classifier,
         "op4_token_counts": op4_token_counts,
         "op5_warc": op5_warc,
+        "op6_near_dedup": op6_near_dedup,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_sharding": op9_sharding,
