@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from feira.llm import bpe, classifier, decontaminate, line_dedup, minhash, quality, sharding, token_scan, warc, store
+from feira.llm import bpe, classifier, decontaminate, line_dedup, minhash, quality, sharding, store, suffix_dedup, token_scan, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -25,6 +25,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return got.drop("kept")
+
+
 def held_out(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
@@ -108,6 +113,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_token_counts": op4_token_counts,
         "op5_warc": op5_warc,
