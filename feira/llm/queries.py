@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from feira.llm import bpe, classifier, decontaminate, line_dedup, minhash, quality, sharding, store, suffix_dedup, token_scan, warc
+from feira.llm import bpe, classifier, decontaminate, line_dedup, minhash, oracle, quality, sharding, store, suffix_dedup, token_scan, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -126,4 +126,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
