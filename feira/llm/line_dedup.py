@@ -22,12 +22,12 @@ from feira.llm import store
 RATIO = 0.1
 LEAST_PAGES = 3
 
-SPACE = "[\\x20\\x09-\\x0D]"
+SPACE = " \t\n\v\f\r"
 
 
 def bare(line: Column) -> Column:
     """A line without the white space around it."""
-    return F.regexp_replace(line, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(line, F.lit(SPACE))
 
 
 def _lines(body: Column) -> Column:
