@@ -26,6 +26,7 @@ from feira.llm import bpe, files, store, text
 
 FILE_BYTES = 64 << 20
 BLOCK_TOKENS = 1 << 19
+TASK_BLOCKS = 32
 
 
 def write_token_files(
@@ -112,7 +113,8 @@ def scan_blocks(token_files: DataFrame, end_id: int, width: int = 2, block: int
                     ),
                 )
 
-    return blocks.repartition("uri", "block").mapInArrow(
+    # a task for a few blocks; their names alone are too few bytes for Spark to spread
+    return blocks.repartition(blocks.count() // TASK_BLOCKS + 1).mapInArrow(
         run, "uri string, block long, n long, last long, ends array<long>"
     )
 
@@ -141,5 +143,6 @@ def document_token_counts(
     folder = store.scratch(df.sparkSession, "tokens")
     token_files, places = write_token_files(df, id_col, text_col, path, end_token, folder, width)
     end_id = bpe.Bpe(bpe.read_spec(path)).special[end_token]
-    counts = token_counts(token_files, end_id, width)
+    # merged: what leaves a window is much larger than the blocks that enter it, by which Spark would choose
+    counts = token_counts(token_files, end_id, width).hint("merge")
     return places.join(counts, ["uri", "number"]).select(F.col("id").alias(id_col), "n_tokens")
