@@ -211,7 +211,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.repartition("uri").mapInArrow(
+    # a task for each archive; their names alone are too few bytes for Spark to spread
+    return archives.repartition(max(archives.count(), 1)).mapInArrow(
         run,
         "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary",
     )
