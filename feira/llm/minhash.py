@@ -56,6 +56,7 @@ class Similarity:
 #: Buckets of up to this many members are finished by pairs, larger ones by distinctions; both lose no link.
 SMALL = 32
 REFERENCES = 5
+BATCH = 500  # rows of pairs with their sets that a task holds at a time
 
 _WORD = text.byte_table(WORD)
 
@@ -176,7 +177,7 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
 def _sets(df: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
     """``node, shingles`` for the wanted nodes, from the rows ``rid, key, text``."""
     wanted = nodes.select(F.col("node.id").alias("key"), F.col("node.h").alias("h")).distinct()
-    rows = df.select("key", "text").join(wanted, "key")
+    rows = df.select("key", "text").join(wanted.hint("merge"), "key")  # as many nodes as near-duplicates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,10 +198,8 @@ def _sets(df: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
     return found.groupBy(F.struct("id", "h").alias("node")).agg(F.first("shingles").alias("shingles"))
 
 
-def _verified(pairs: DataFrame, df: DataFrame, how: Similarity, folder: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    sets = store.stored(_sets(df, ends, how), f"{folder}/sets")
     rows = (
         pairs.join(sets.withColumnsRenamed({"node": "b", "shingles": "of_b"}), "b")
         .join(sets.withColumnsRenamed({"node": "a", "shingles": "of_a"}), "a")
@@ -267,6 +266,28 @@ def _small_pairs(members: DataFrame) -> DataFrame:
     return met.select(F.least("few", "node").alias("a"), F.greatest("few", "node").alias("b")).distinct()
 
 
+def _judged_leaders(of_led: DataFrame) -> DataFrame:
+    """``leader, led, common, kept``: shingles that a leader lacks and references have, and its own that most of them kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common, kept = [], []
+            for k in range(batch.num_rows):
+                led = np.frombuffer(batch.column(1)[k].as_buffer(), np.uint64)
+                others = [np.frombuffer(o.as_buffer(), np.uint64) for o in batch.column(2)[k].values]
+                held, count = np.unique(np.concatenate(others), return_counts=True)
+                own = np.isin(held, led, assume_unique=True)
+                common.append(held[~own].tobytes())
+                kept.append(held[own & (2 * count >= len(others))].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(common, pa.binary()), pa.array(kept, pa.binary())],
+                ["leader", "led", "common", "kept"],
+            )
+
+    kind = of_led.schema["leader"].dataType.simpleString()
+    return of_led.mapInArrow(run, f"leader {kind}, led binary, common binary, kept binary")
+
+
 def _distinctions(members: DataFrame, sets: DataFrame, how: Similarity, folder: str) -> DataFrame:
     """For the members of large buckets: ``leader, node, label, linked`` and ``first``, what first distinguishes them.
 
@@ -289,13 +310,14 @@ def _distinctions(members: DataFrame, sets: DataFrame, how: Similarity, folder:
         .groupBy("leader")
         .agg(F.collect_list("shingles").alias("others"))  # at most REFERENCES
     )
-    leaders = store.stored(
-        references.join(sets.withColumnsRenamed({"node": "leader", "shingles": "led"}), "leader"), f"{folder}/leaders"
+    of_led = references.join(sets.withColumnsRenamed({"node": "leader", "shingles": "led"}), "leader").select(
+        "leader", "led", "others"
     )
+    leaders = store.stored(_judged_leaders(of_led), f"{folder}/leaders")
     rows = (
         of_leader.join(sets.withColumnRenamed("shingles", "own"), "node")
         .join(leaders, "leader")
-        .select("leader", "node", "label", "own", "led", "others")
+        .select("leader", "node", "label", "own", "led", "common", "kept")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,18 +327,11 @@ def _distinctions(members: DataFrame, sets: DataFrame, how: Similarity, folder:
                 own, led = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (3, 4))
                 added = np.setdiff1d(own, led, assume_unique=True)
                 gone = np.setdiff1d(led, own, assume_unique=True)
-                common = len(own) - len(added)
-                linked.append(100 * common >= how.percent * (len(own) + len(gone)))
+                linked.append(100 * (len(own) - len(added)) >= how.percent * (len(own) + len(gone)))
                 most = (100 - how.percent) * len(own) // how.percent
-                held = np.zeros(len(added), np.int64)
-                kept = np.zeros(len(gone), np.int64)
-                for other in batch.column(5)[k].values:
-                    reference = np.frombuffer(other.as_buffer(), np.uint64)
-                    held += np.isin(added, reference, assume_unique=True)
-                    kept += np.isin(gone, reference, assume_unique=True)
+                common, kept = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (5, 6))
                 # an addition that no reference has is rare, a loss less so; the others are common
-                most_of = len(batch.column(5)[k].values) / 2
-                rarity = np.concatenate([np.where(held > 0, 2 + held, 0), np.where(kept < most_of, 2, 1)])
+                rarity = np.concatenate([np.where(np.isin(added, common), 3, 0), np.where(np.isin(gone, kept), 1, 2)])
                 elements = np.concatenate([added, text.mix(gone ^ np.uint64(1))])
                 first = elements[np.lexsort((elements, rarity))][: most + 1]
                 counts.append(len(added) + len(gone))
@@ -348,7 +363,8 @@ def _prefix_pairs(found: DataFrame, how: Similarity) -> DataFrame:
     A pair can differ in (1 - t) / (1 + t) of its shingles; what follows the
     place where two prefixes meet must be able to hold the rest of what they share.
     """
-    elements = found.select(
+    # dealt out by node first: the members of one large bucket may lie in a few files
+    elements = found.repartition("node").select(
         "leader", "node", "label", "differs", "half", "n", F.posexplode("first").alias("place", "element")
     )
     fewer = elements.where(F.col("place") < F.col("half")).select(
@@ -394,18 +410,17 @@ def link(df: DataFrame, id_col: str, text_col: str, how: Similarity, hash_col: s
         f"{folder}/led",
     )
     live = store.stored(bands.join(led, "bucket"), f"{folder}/live")
-    first = store.stored(_pruned(_first_pairs(live), nodes, how), f"{folder}/first")
-    links = store.stored(_verified(first, rows, how, f"{folder}/one"), f"{folder}/links-1")
-    roots = components(links, f"{folder}/components-1")
-    members = _mixed(live, roots, folder)
-    large = members.where(F.col("size") > SMALL)
-    ends = large.select("node").union(large.select("leader")).distinct()
-    sets = store.stored(_sets(rows, ends, how), f"{folder}/large-sets")
-    found = store.stored(_distinctions(members, sets, how, folder), f"{folder}/distinctions")
-    led_links = found.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    rest = _small_pairs(members).union(_prefix_pairs(found, how)).distinct()
-    rest = store.stored(_pruned(rest, nodes, how), f"{folder}/rest")
-    more = store.stored(_verified(rest, rows, how, f"{folder}/two"), f"{folder}/links-2")
+    sets = store.stored(_sets(rows, live.select("node"), how), f"{folder}/sets")
+    with store.small_batches(spark, BATCH):
+        first = store.stored(_pruned(_first_pairs(live), nodes, how), f"{folder}/first")
+        links = store.stored(_verified(first, sets, how), f"{folder}/links-1")
+        roots = components(links, f"{folder}/components-1")
+        members = _mixed(live, roots, folder)
+        found = store.stored(_distinctions(members, sets, how, folder), f"{folder}/distinctions")
+        led_links = found.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        rest = _small_pairs(members).union(_prefix_pairs(found, how)).distinct()
+        rest = store.stored(_pruned(rest, nodes, how), f"{folder}/rest")
+        more = store.stored(_verified(rest, sets, how), f"{folder}/links-2")
     roots = components(links.union(led_links).union(more), f"{folder}/components-2")
     labels = store.stored(
         classes.select("h1", "h2", node.alias("node"))
