@@ -6,7 +6,6 @@ import os
 import sys
 from collections.abc import Callable
 from dataclasses import replace
-from functools import lru_cache
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -15,12 +14,13 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries  # noqa: E402
 from feira.config import Config  # noqa: E402
+from feira.functions.dates import age_years  # noqa: E402
 from feira.operators.period import in_quarter_tokens  # noqa: E402
 from feira.plans import curated, funnel, purchases, signups, traffic, warehouse  # noqa: E402
-from feira.session import shared_folder, stored_bytes, tune  # noqa: E402
+from feira.session import drop_folder, read_bytes, shared_folder, tune  # noqa: E402
 from feira.sources.marketplace import Marketplace  # noqa: E402
 from feira.sources.snapshot import from_report_snapshot, to_report_snapshot  # noqa: E402
-from feira.sources.star import STAR_CONFIG, from_star, star_paths  # noqa: E402
+from feira.sources.star import STAR_CONFIG, from_star  # noqa: E402
 
 # The text operators are optional: without their folder the rest works as it is.
 try:
@@ -38,36 +38,31 @@ except ModuleNotFoundError as missing:
 
 CFG = STAR_CONFIG
 BY_CLIENT = replace(STAR_CONFIG, dedup_key="client")
+BOUGHT, SIGNED = ("pedidos", "comercios"), ("clientes", "enderecos")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-@lru_cache(maxsize=32)
-def _open(spark: SparkSession, sf_dir: str) -> tuple[Marketplace, int]:
-    """The source tables of a folder, opened once per session like catalog tables, and its size."""
-    return from_star(spark, sf_dir), stored_bytes(spark, *star_paths(sf_dir))
-
-
 def _tables(spark: SparkSession, sf_dir: str) -> Marketplace:
-    market, size = _open(spark, sf_dir)
-    tune(spark, size)
-    return market
+    """The source tables of a folder, listed anew: files added since the last call are seen."""
+    return from_star(spark, sf_dir)
 
 
-@lru_cache(maxsize=32)
 def _compras(m: Marketplace, cfg: Config = CFG) -> DataFrame:
     return curated.curate_purchases(m.pedidos, m.comercios, cfg)
 
 
-@lru_cache(maxsize=32)
 def _clientes(m: Marketplace, cfg: Config = CFG) -> DataFrame:
     return curated.curate_customers(m.clientes, m.enderecos, m.segments, cfg)
 
 
 def _on_source(build: Callable[[Marketplace], DataFrame]) -> Query:
-    # a new DataFrame each time: running a shared one again would reuse its shuffles.
-    # ``time`` repeats the columns derived from it
-    return lambda spark, sf_dir: build(_tables(spark, sf_dir)).drop("time")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = build(_tables(spark, sf_dir)).drop("time")  # repeats the columns derived from it
+        tune(spark, read_bytes(df))
+        return df
+
+    return run
 
 
 def _on_compras(report: Callable[..., DataFrame], **options) -> Query:
@@ -78,13 +73,45 @@ def _on_clientes(report: Callable[..., DataFrame], **options) -> Query:
     return _on_source(lambda m: report(_clientes(m), CFG, **options))
 
 
-def _stored(store: Callable[[Marketplace, str], DataFrame]) -> Query:
+# the folder each storing query wrote last in this process, by application and store function
+_written: dict[tuple[str, Callable], str] = {}
+
+
+def _stored(store: Callable[[Marketplace, str], DataFrame], *tables: str) -> Query:
+    """Store tables built from the named sources in a new folder, then drop that of the last call."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return store(_tables(spark, sf_dir), shared_folder(spark, "feira")).drop("time")
+        m = _tables(spark, sf_dir)
+        tune(spark, sum(read_bytes(getattr(m, t)) for t in tables))
+        root, key = shared_folder(spark, "feira"), (spark.sparkContext.applicationId, store)
+        df = store(m, root).drop("time")
+        if key in _written:
+            drop_folder(spark, _written[key])
+        _written[key] = root
+        return df
 
     return run
 
 
+def _published(m: Marketplace, root: str) -> DataFrame:
+    """Monthly value from the published purchases."""
+    warehouse.store_funnel(m, root, CFG)
+    spark = m.pedidos.sparkSession
+    warehouse.publish_tables(spark, root, CFG)
+    return purchases.gmv_monthly(spark.table(warehouse.PURCHASES), CFG)
+
+
+def _account_years(m: Marketplace) -> DataFrame:
+    """Completed years since each client's registration."""
+    return m.clientes.select(
+        F.col("id").alias("cliente_id"), age_years(F.col("time"), CFG.as_of).alias("anos")
+    )
+
+
+def _snapshot(curated_table: DataFrame) -> DataFrame:
+    return from_report_snapshot(to_report_snapshot(curated_table))
+
+
 def _literal_quarter_filter(m: Marketplace) -> DataFrame:
     """Valid orders matched by each spelling of the quarter tokens."""
     valid = _compras(m).where(F.col("status_pedido") == 1)
@@ -112,13 +139,15 @@ def report_queries() -> dict[str, Query]:
             lambda m: curated.customer_purchases(_clientes(m), _compras(m))
         ),
         "customer_purchases_by_client": _on_source(
-            lambda m: curated.customer_purchases(_clientes(m, BY_CLIENT), _compras(m), salts=8)
+            lambda m: curated.customer_purchases(_clientes(m, BY_CLIENT), _compras(m))
         ),
         # app traffic
         "app_daily": _on_source(lambda m: m.analytics_app),
+        "db_app": _on_source(lambda m: m.db_app),
         "app_totals": _on_source(lambda m: traffic.app_totals(m.analytics_app)),
         "app_monthly": _on_source(lambda m: traffic.app_monthly(m.analytics_app)),
         # registrations
+        "account_years": _on_source(_account_years),
         "signups_total": _on_clientes(signups.signups_total),
         "active_signups_total": _on_clientes(signups.active_signups_total),
         "active_signups_monthly": _on_clientes(signups.active_signups_monthly),
@@ -150,18 +179,28 @@ def report_queries() -> dict[str, Query]:
             lambda m: funnel.growth_funnel(m.analytics_app, _clientes(m), _compras(m), CFG)
         ),
         # text snapshots and stored tables
-        "snapshot_roundtrip": _on_source(
-            lambda m: from_report_snapshot(to_report_snapshot(_compras(m)))
+        "snapshot_roundtrip": _on_source(lambda m: _snapshot(_compras(m))),
+        "customer_snapshot_roundtrip": _on_source(lambda m: _snapshot(_clientes(m))),
+        "snapshot_gmv_monthly": _on_source(
+            lambda m: purchases.gmv_monthly(_snapshot(_compras(m)), CFG)
+        ),
+        "snapshot_active_signups_monthly": _on_source(
+            lambda m: signups.active_signups_monthly(_snapshot(_clientes(m)), CFG)
         ),
-        "customer_snapshot_roundtrip": _on_source(
-            lambda m: from_report_snapshot(to_report_snapshot(_clientes(m)))
+        "stored_purchases": _stored(
+            lambda m, root: warehouse.store_purchases(m, root, CFG), *BOUGHT
+        ),
+        "stored_customers": _stored(
+            lambda m, root: warehouse.store_customers(m, root, CFG), *SIGNED
         ),
-        "stored_purchases": _stored(lambda m, root: warehouse.store_purchases(m, root, CFG)),
-        "stored_customers": _stored(lambda m, root: warehouse.store_customers(m, root, CFG)),
         "stored_gmv_monthly": _stored(
-            lambda m, root: purchases.gmv_monthly(warehouse.store_purchases(m, root, CFG), CFG)
+            lambda m, root: purchases.gmv_monthly(warehouse.store_purchases(m, root, CFG), CFG),
+            *BOUGHT,
+        ),
+        "stored_growth_funnel": _stored(
+            lambda m, root: warehouse.store_funnel(m, root, CFG), *BOUGHT, *SIGNED, "analytics_app"
         ),
-        "stored_growth_funnel": _stored(lambda m, root: warehouse.store_funnel(m, root, CFG)),
+        "published_gmv_monthly": _stored(_published, *BOUGHT, *SIGNED, "analytics_app"),
     }
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+BINARY = "UTF8_BINARY"
+
+
 def full_name(first: Column, last: Column) -> Column:
     """``first last``; NULL when either part is NULL."""
     return F.concat(first, F.lit(" "), last)
@@ -17,7 +20,7 @@ def strip_hyphens(text: Column) -> Column:
 
 def collated(text: Column, collation: str) -> Column:
     """``text`` under a collation; the binary default leaves the column as it is."""
-    return text if collation == "UTF8_BINARY" else F.collate(text, collation)
+    return text if collation == BINARY else F.collate(text, collation)
 
 
 def not_in(text: Column, *values: str) -> Column:

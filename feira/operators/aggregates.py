@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from feira.functions.dates import month_label
-from feira.functions.text import collated
+from feira.functions.text import BINARY, collated
 
 MONEY_TOTAL = "decimal(38,2)"
 
@@ -16,10 +16,21 @@ def total(amount: str) -> Column:
     return F.sum(amount).cast(MONEY_TOTAL)
 
 
-def count_by(df: DataFrame, dim: str, name: str, collation: str = "UTF8_BINARY") -> DataFrame:
+def by_text(df: DataFrame, text: str, label: str, collation: str, *keys: str) -> GroupedData:
+    """Group by ``text`` under a collation, and by ``keys``; see :func:`text_label`."""
+    key = collated(F.col(text), collation).alias(label if collation == BINARY else "texto")
+    return df.groupBy(*keys, key)
+
+
+def text_label(text: str, label: str, collation: str) -> list[Column]:
+    """The name of a group that a collation merged: its smallest text, whatever the row order."""
+    return [] if collation == BINARY else [F.min(text).alias(label)]
+
+
+def count_by(df: DataFrame, dim: str, name: str, collation: str = BINARY) -> DataFrame:
     """Non-NULL count of ``dim`` per value of ``dim``: its NULL group counts 0."""
-    key = collated(F.col(dim), collation)
-    return df.groupBy(key.alias(dim)).agg(F.count(dim).alias(name))
+    aggs = [*text_label(dim, dim, collation), F.count(dim).alias(name)]
+    return by_text(df, dim, dim, collation).agg(*aggs).select(dim, name)
 
 
 def monthly(df: DataFrame, month: str | Column, *aggs: Column, keep_month: bool = False) -> DataFrame:

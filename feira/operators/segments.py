@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feira.config import Config
-from feira.operators.salting import SALT, copies, spread
 
 
 def segment_lists(segments: DataFrame, cfg: Config) -> DataFrame:
@@ -24,27 +23,22 @@ def segment_lists(segments: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
-def segment_customers(
-    clientes: DataFrame, segments: DataFrame, cfg: Config, salts: int = 1
-) -> DataFrame:
+def segment_customers(clientes: DataFrame, segments: DataFrame, cfg: Config) -> DataFrame:
     """Add ``purchase_type``.
 
     Wholesale for a listed e-mail or a client without a personal tax number,
     then minimarket for a listed e-mail, then retail. The lists are a table: a
     short one is broadcast by Catalyst's own size check. A long one shuffles
-    the clients by e-mail, where all deleted ones share a key; ``salts`` then
-    spreads each e-mail over that many partitions.
+    the clients by e-mail, where all deleted ones share a key. AQE splits it,
+    because the rebalanced list does not count as laid out by e-mail already;
+    it still counts as unique, so a report without segments drops the join.
     """
-    lists = segment_lists(segments, cfg)
-    keyed = clientes.withColumn("lista_email", F.lower("email"))
-    keys = ["lista_email"]
-    if salts > 1:
-        keyed, lists = spread(keyed, salts, *clientes.columns), copies(lists, salts)
-        keys.append(SALT)
+    lists = segment_lists(segments, cfg).hint("rebalance")
+    same = F.lower(clientes["email"]) == lists["lista_email"]
     purchase_type = (
         F.when(F.col("atacadista") | F.col("cpf").isNull(), cfg.wholesale)
         .when(F.col("minimercado"), cfg.minimarket)
         .otherwise(cfg.retail)
     )
-    joined = keyed.join(lists, keys, "left").withColumn("purchase_type", purchase_type)
-    return joined.drop(*keys, "atacadista", "minimercado")
+    joined = clientes.join(lists, same, "left").withColumn("purchase_type", purchase_type)
+    return joined.drop("lista_email", "atacadista", "minimercado")

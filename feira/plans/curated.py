@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from feira.config import Config
 from feira.functions.text import full_name, not_in, strip_hyphens
 from feira.operators.flags import flag_active_customers, flag_valid_orders, mark_test_sellers
-from feira.operators.latest import ADDRESS_COLUMNS, first_per_address_key, latest_addresses
+from feira.operators.latest import ADDRESS_COLUMNS, located_clients
 from feira.operators.period import with_period
-from feira.operators.salting import SALT, copies, spread
+from feira.operators.skew import own_key
 from feira.operators.segments import segment_customers
 
 PERIOD_COLUMNS = ("time", "dia", "mes", "ano", "trimestre")
@@ -71,10 +71,9 @@ def curate_customers(
     Deleted clients (and those without an e-mail) leave after the ranking: when
     one of them is first in its group, the whole group goes.
     """
-    latest = latest_addresses(enderecos)
     clients = clientes.withColumnRenamed("id", "cliente_id")
-    located = clients.join(latest, clients["cliente_id"] == latest["endereco_cliente_id"], "left")
-    kept = first_per_address_key(located, cfg).where(not_in(F.col("email"), cfg.deleted_email))
+    located = located_clients(clients, enderecos, cfg)
+    kept = located.where(not_in(F.col("email"), cfg.deleted_email))
     flagged = flag_active_customers(segment_customers(kept, segments, cfg), cfg)
     return with_period(flagged, "data_cadastro").withColumns(
         {
@@ -85,23 +84,19 @@ def curate_customers(
     ).select(*CUSTOMER_COLUMNS)
 
 
-def customer_segments(
-    clientes: DataFrame, segments: DataFrame, cfg: Config, salts: int = 1
-) -> DataFrame:
+def customer_segments(clientes: DataFrame, segments: DataFrame, cfg: Config) -> DataFrame:
     """Every client with its segment."""
-    return segment_customers(clientes, segments, cfg, salts).select(
+    return segment_customers(clientes, segments, cfg).select(
         F.col("id").alias("cliente_id"), F.lower("email").alias("email"), "cpf", "purchase_type"
     )
 
 
-def customer_purchases(customers: DataFrame, purchases: DataFrame, salts: int = 1) -> DataFrame:
+def customer_purchases(customers: DataFrame, purchases: DataFrame) -> DataFrame:
     """Purchases of curated customers, 17 columns.
 
-    One client may own much of the purchases. AQE splits such a partition when
-    both inputs arrive through their own shuffle, as stored tables and the
-    ``address`` key do. Customers that are already laid out by client skip
-    theirs; ``salts`` then spreads each client over that many partitions, at
-    the price of as many copies of the customer rows.
+    One client may own much of the purchases, and customers may come already
+    laid out by client; the join lays both sides out anew, so that AQE can
+    split such a client with one copy of its customer row.
     """
     cl = customers.select(
         "cliente_id",
@@ -116,8 +111,5 @@ def customer_purchases(customers: DataFrame, purchases: DataFrame, salts: int =
     cp = purchases.select(
         "cliente_id", "compra_id", "nome_fantasia", "valor", "frete", "status", "data_compra"
     )
-    keys = ["cliente_id"]
-    if salts > 1:
-        cl, cp = copies(cl, salts), spread(cp, salts, "compra_id")
-        keys.append(SALT)
-    return cl.join(cp, keys, "inner").drop(SALT)
+    same = own_key(cl["cliente_id"]) == own_key(cp["cliente_id"])
+    return cl.join(cp, same, "inner").drop(cp["cliente_id"])

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from feira.config import Config
 from feira.functions.dates import days_since, month_label
-from feira.functions.text import collated
-from feira.operators.aggregates import monthly, per_client, total
+from feira.operators.aggregates import by_text, monthly, per_client, text_label, total
 from feira.operators.latest import last_purchase_per_name
 from feira.operators.period import in_quarters
 
@@ -19,8 +18,10 @@ def valid_purchases(purchases: DataFrame, cfg: Config) -> DataFrame:
 
 
 def gmv_monthly(purchases: DataFrame, cfg: Config, keep_month: bool = False) -> DataFrame:
+    """In calendar order when the month is kept."""
     valid = valid_purchases(purchases, cfg)
-    return monthly(valid, "mes", total("valor").alias("gmv"), keep_month=keep_month)
+    sums = monthly(valid, "mes", total("valor").alias("gmv"), keep_month=keep_month)
+    return sums.orderBy("mes") if keep_month else sums
 
 
 def orders_monthly(purchases: DataFrame, cfg: Config, name: str = "pedidos") -> DataFrame:
@@ -93,33 +94,38 @@ def last_purchase_per_client(purchases: DataFrame, cfg: Config) -> DataFrame:
 
 def seller_sales(purchases: DataFrame, cfg: Config) -> DataFrame:
     """Sales count and value per seller; orders without one count 0, their value stays."""
-    seller = collated(F.col("nome_fantasia"), cfg.text_collation).alias("seller")
+    valid = valid_purchases(purchases, cfg)
     return (
-        valid_purchases(purchases, cfg)
-        .groupBy(seller)
-        .agg(F.count("nome_fantasia").alias("qtd_vendas"), total("valor").alias("valor_vendas"))
+        by_text(valid, "nome_fantasia", "seller", cfg.text_collation)
+        .agg(
+            *text_label("nome_fantasia", "seller", cfg.text_collation),
+            F.count("nome_fantasia").alias("qtd_vendas"),
+            total("valor").alias("valor_vendas"),
+        )
+        .select("seller", "qtd_vendas", "valor_vendas")
         .orderBy(F.desc("valor_vendas"), "seller")
     )
 
 
 def seller_month(purchases: DataFrame, cfg: Config) -> DataFrame:
     """Sales per seller and month."""
-    return _seller_months(purchases, cfg, "mes", "seller")
+    return _seller_months(purchases, cfg, "mes")
 
 
 def seller_month_literal(purchases: DataFrame, cfg: Config) -> DataFrame:
     """Sales per seller over all months, next to the first month sold in."""
-    return _seller_months(purchases, cfg, "seller")
+    return _seller_months(purchases, cfg)
 
 
-def _seller_months(purchases: DataFrame, cfg: Config, *keys: str) -> DataFrame:
-    seller = collated(F.col("nome_fantasia"), cfg.text_collation)
-    sales = valid_purchases(purchases, cfg).select("mes", "dia", seller.alias("seller"))
-    aggs = [F.count("dia").alias("venda_seller_mes")]
-    if "mes" not in keys:
+def _seller_months(purchases: DataFrame, cfg: Config, *months: str) -> DataFrame:
+    aggs = text_label("nome_fantasia", "seller", cfg.text_collation)
+    aggs.append(F.count("dia").alias("venda_seller_mes"))
+    if not months:
         aggs.append(F.min("mes").alias("mes"))
     return (
-        sales.groupBy(*keys)
+        by_text(
+            valid_purchases(purchases, cfg), "nome_fantasia", "seller", cfg.text_collation, *months
+        )
         .agg(*aggs)
         .select(month_label(F.col("mes")).alias("mes_ano"), "seller", "venda_seller_mes")
         .orderBy("mes_ano", F.desc("venda_seller_mes"), "seller")

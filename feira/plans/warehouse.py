@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from feira.config import Config
 from feira.operators.tables import PERIOD_FOLDERS, publish, refresh_table
 from feira.plans.curated import curate_customers, curate_purchases
 from feira.plans.funnel import growth_funnel
-from feira.sources.marketplace import Marketplace
+from feira.sources.marketplace import SCHEMAS, Marketplace
 
 PURCHASES, CUSTOMERS, FUNNEL = "analytics_compras", "analytics_clientes", "growth_funil"
 
@@ -31,7 +32,16 @@ def store_funnel(m: Marketplace, root: str, cfg: Config) -> DataFrame:
     return refresh_table(funnel, f"{root}/{FUNNEL}")
 
 
-def publish_tables(spark: SparkSession, root: str) -> None:
-    """Make the tables stored under ``root`` available to SQL by name."""
-    for name in (PURCHASES, CUSTOMERS, FUNNEL):
-        publish(spark, name, f"{root}/{name}")
+def publish_tables(spark: SparkSession, root: str, cfg: Config) -> None:
+    """Make the tables stored under ``root`` available to SQL by name, one view after the other."""
+    for name, schema in table_schemas(spark, cfg).items():
+        publish(spark, name, f"{root}/{name}", schema)
+
+
+def table_schemas(spark: SparkSession, cfg: Config) -> dict[str, StructType]:
+    """The columns of the three tables, from their plans over empty sources."""
+    m = Marketplace(lambda name: spark.createDataFrame([], SCHEMAS[name]))
+    purchases = curate_purchases(m.pedidos, m.comercios, cfg)
+    customers = curate_customers(m.clientes, m.enderecos, m.segments, cfg)
+    funnel = growth_funnel(m.analytics_app, customers, purchases, cfg)
+    return {PURCHASES: purchases.schema, CUSTOMERS: customers.schema, FUNNEL: funnel.schema}

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Joins carry no broadcast hints: Catalyst compares the estimated size with
 # spark.sql.autoBroadcastJoinThreshold and AQE compares the measured one. Past
@@ -20,50 +20,61 @@ SKEW_SETTINGS = {
 }
 
 
-# One shuffle partition per this much stored input: the plans shuffle a few
-# narrow columns of each row. The limit holds for shuffle partitions and for
-# map tasks, so that the blocks between them (their product) do not become tiny.
-INPUT_BYTES_PER_PARTITION = 1 << 30
-MAX_PARTITIONS = 40_000
+# One shuffle partition per this much input: the plans shuffle a few narrow
+# columns of each row. AQE merges partitions that turn out small and splits hot ones.
+PARTITION_BYTES = 1 << 30
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-SPLIT_BYTES = "spark.sql.files.maxPartitionBytes"
-DEFAULT_SPLIT_BYTES = 128 << 20
 
 
-def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
-    """Turn on runtime skew handling and size tasks for ``input_bytes``.
+def tune(
+    spark: SparkSession, input_bytes: int = 0, partition_bytes: int = PARTITION_BYTES
+) -> SparkSession:
+    """Turn on runtime skew handling and size shuffles for ``input_bytes``.
 
-    Shuffles start at least as wide as the session's own setting; AQE merges
-    partitions that turn out small. Scan splits grow past the default only when
-    there would be too many of them.
+    A shuffle gets one partition per ``partition_bytes`` of input, and at least as many as
+    the session asks for; there is no upper bound. The setting depends on the
+    arguments alone, not on earlier calls.
     """
     for name, value in SKEW_SETTINGS.items():
         if spark.conf.get(name) != value:
             spark.conf.set(name, value)
-    partitions = min(math.ceil(input_bytes / INPUT_BYTES_PER_PARTITION), MAX_PARTITIONS)
+    partitions = math.ceil(input_bytes / partition_bytes)
     if partitions > int(spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set(INITIAL_PARTITIONS, str(partitions))
-    split = input_bytes // MAX_PARTITIONS
-    if split > DEFAULT_SPLIT_BYTES:
-        spark.conf.set(SPLIT_BYTES, str(split))
+    else:
+        spark.conf.unset(INITIAL_PARTITIONS)
     return spark
 
 
-def stored_bytes(spark: SparkSession, *paths: str) -> int:
-    """Size of all files under ``paths``, from the listing; no file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
-    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+def read_bytes(df: DataFrame) -> int:
+    """Size of the tables ``df`` reads, as their file listings or catalog statistics say; runs no job.
+
+    A table read twice counts twice; rows made by the query itself count nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    relations = (leaves.apply(i) for i in range(leaves.size()))
+    return sum(
+        int(r.stats().sizeInBytes())
+        for r in relations
+        if "Relation" in r.nodeName() and r.nodeName() not in ("LocalRelation", "OneRowRelation")
+    )
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one the cluster names in ``spark.checkpoint.dir``.
 
-    Without that setting a local session gets a temporary folder; on a cluster
-    every node must see the files, so there it is an error.
+    A session on this machine alone gets a temporary folder when that setting
+    is missing; on a cluster every node must see the files, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder all nodes share")
         root = tempfile.mkdtemp(prefix="feira-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that :func:`shared_folder` named, with the file system it is on."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

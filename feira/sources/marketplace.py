@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-SCHEMAS = {
+# ``db_app`` is passed through with whatever columns it has.
+SCHEMAS: dict[str, str | None] = {
+    "db_app": None,
     "pedidos": (
         "id bigint, cliente_id bigint, nome string, email string, valor decimal(12,2), "
         "frete decimal(12,2), comercio_id bigint, status string, time timestamp_ntz"
@@ -42,15 +46,28 @@ def from_files(
     spark: SparkSession, root: str, fmt: str = "parquet", **options: str
 ) -> Marketplace:
     """Tables stored as ``root/<table>`` in any file format Spark reads."""
-    return Marketplace(
-        lambda name: spark.read.format(fmt)
-        .options(**options)
-        .schema(SCHEMAS[name])
-        .load(f"{root}/{name}")
-    )
+
+    def load(name: str) -> DataFrame:
+        reader = spark.read.format(fmt).options(**options)
+        schema = SCHEMAS[name]
+        return (reader.schema(schema) if schema else reader).load(f"{root}/{name}")
+
+    return Marketplace(load)
 
 
 def from_catalog(spark: SparkSession, database: str | None = None) -> Marketplace:
-    """Tables (or views) of a catalog database; the current one when not named."""
+    """Tables (or views) of a catalog database; the current one when not named.
+
+    Columns are cast to the types the plans rely on: money stored as a double
+    would be summed inexactly.
+    """
     prefix = f"{database}." if database else ""
-    return Marketplace(lambda name: spark.table(prefix + name))
+
+    def load(name: str) -> DataFrame:
+        table, schema = spark.table(prefix + name), SCHEMAS[name]
+        if not schema:
+            return table
+        fields = StructType.fromDDL(schema).fields
+        return table.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields))
+
+    return Marketplace(load)

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from datetime import date
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from feira.config import Config, Windows, quarters_of
 from feira.sources.marketplace import Marketplace
@@ -24,27 +22,34 @@ STAR_CONFIG = Config(
 )
 
 
-TABLES = ("orders", "lineitem", "customer", "supplier", "nation", "region", "events")
-
-
-def star_paths(root: str) -> list[str]:
-    return [f"{root}/{name}.parquet" for name in TABLES]
-
-
-@lru_cache(maxsize=256)
-def _schema(spark: SparkSession, path: str) -> StructType:
-    return spark.read.parquet(path).schema
+# The columns the mapping reads. Given types spare Spark opening a file footer per table.
+SCHEMAS = {
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": "l_orderkey bigint, l_suppkey bigint",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "supplier": "s_suppkey bigint, s_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+}
 
 
 def from_star(spark: SparkSession, root: str) -> Marketplace:
-    """The marketplace tables over ``root/<star table>.parquet``."""
+    """The marketplace tables over ``root/<star table>.parquet``, listed anew by each call."""
 
     def star(name: str) -> DataFrame:
-        path = f"{root}/{name}.parquet"
-        return spark.read.schema(_schema(spark, path)).parquet(path)
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}.parquet")
 
     builders = {
-        "pedidos": lambda: _pedidos(star("orders"), star("lineitem")),
+        "pedidos": lambda: _pedidos(star("orders"), star("lineitem"), star("customer")),
         "comercios": lambda: _comercios(star("supplier")),
         "clientes": lambda: _clientes(star("customer"), star("orders")),
         "enderecos": lambda: _enderecos(
@@ -52,6 +57,7 @@ def from_star(spark: SparkSession, root: str) -> Marketplace:
         ),
         "analytics_app": lambda: _analytics_app(star("events")),
         "segments": lambda: _segments(spark),
+        "db_app": lambda: star("events"),
     }
     return Marketplace(lambda name: builders[name]())
 
@@ -63,17 +69,20 @@ def _comercios(supplier: DataFrame) -> DataFrame:
     )
 
 
-def _pedidos(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def _pedidos(orders: DataFrame, lineitem: DataFrame, customer: DataFrame) -> DataFrame:
     """One seller per order; the order's name is the customer's, in two spellings.
 
-    The schema defines a customer's name by its key, so it takes no join.
+    Sellers and names have one row per key, so a report that does not read
+    them drops the join and the scan behind it.
     """
     sellers = lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("comercio_id"))
-    return orders.join(sellers, orders["o_orderkey"] == sellers["l_orderkey"], "left").selectExpr(
+    names = customer.groupBy("c_custkey").agg(F.min("c_name").alias("c_name"))
+    sold = orders.join(sellers, orders["o_orderkey"] == sellers["l_orderkey"], "left")
+    named = sold.join(names, orders["o_custkey"] == names["c_custkey"], "left")
+    return named.selectExpr(
         "o_orderkey AS id",
         "o_custkey AS cliente_id",
-        """'Customer#' || lpad(CAST(o_custkey AS STRING), greatest(9, length(CAST(o_custkey AS STRING))), '0')
-           || IF(o_orderkey % 10 = 0, ' B', '') AS nome""",
+        "c_name || IF(o_orderkey % 10 = 0, ' B', '') AS nome",
         "'Customer' || o_custkey || '@Example.com' AS email",
         "CAST(o_totalprice AS DECIMAL(12,2)) AS valor",
         "CAST(o_orderkey % 50 AS DECIMAL(12,2)) AS frete",

@@ -59,9 +59,8 @@ def test_segments(spark):
     want = ["ATACADO", "MINIMARKET", "ATACADO", "ATACADO", "VAREJO", "ATACADO"]
     got = _customers(spark, cl, [(i, i, "1") for i in range(1, 7)], lists).orderBy("cliente_id")
     assert [r.purchase_type for r in got.collect()] == want
-    for salts in (1, 4):
-        alone = customer_segments(clientes(spark, *cl), segments(spark, *lists), CFG, salts)
-        assert [r.purchase_type for r in alone.orderBy("cliente_id").collect()] == want
+    alone = customer_segments(clientes(spark, *cl), segments(spark, *lists), CFG)
+    assert [r.purchase_type for r in alone.orderBy("cliente_id").collect()] == want
 
 
 def test_active_flag_name_and_phone(spark):
@@ -106,8 +105,7 @@ def test_unknown_dedup_key():
         Config(dedup_key="name")
 
 
-@pytest.mark.parametrize("salts", [1, 4])
-def test_detail_join(spark, salts):
+def test_detail_join(spark):
     shops = comercios(spark, (1, "Loja"))
     orders = pedidos(
         spark,
@@ -117,7 +115,7 @@ def test_detail_join(spark, salts):
         (92, None, "X", "5", 1, None, T0),
     )
     customers = _customers(spark, [cliente(1), cliente(2, nome="Bia")], [(3, 1, "x")])
-    detail = customer_purchases(customers, curate_purchases(orders, shops, CFG), salts)
+    detail = customer_purchases(customers, curate_purchases(orders, shops, CFG))
     assert len(detail.columns) == 17
     got = sorted(rows(detail.select("cliente_id", "compra_id", "cep", "nome_fantasia", "data_compra")))
     assert got == [(1, i, "x", "Loja", "2022-05-01") for i in range(20)] + [

@@ -1,6 +1,8 @@
 """What the physical plans must and must not contain."""
 
 import re
+from dataclasses import replace
+from pathlib import Path
 
 import pytest
 
@@ -9,8 +11,9 @@ import oracle_queries
 from conftest import TESTDATA
 from feira import session
 from feira.operators.tables import PERIOD_FOLDERS, refresh_table
-from feira.plans import purchases
-from feira.plans.curated import customer_segments
+from feira.plans import purchases, signups
+from feira.plans.curated import curate_customers, customer_segments
+from feira.sources.marketplace import SCHEMAS, from_files
 from oracle import connect, compare
 from pyspark.sql import functions as F
 
@@ -76,8 +79,9 @@ def test_unused_address_columns_cost_nothing(spark):
     text = plan(Q["signups_total"](spark, SF))
     assert "n_name" not in text and "r_name" not in text
     assert "SortAggregate" not in text and "LocalTableScan" not in text
-    # customers and orders are read, orders twice
-    assert len(scans(text)) == 3
+    # clients with and without an address are planned apart: each reads customers once and
+    # orders twice, for the registration date and for who has an address
+    assert len(scans(text)) == 6
 
 
 @pytest.mark.parametrize("name", ["curated_customers", "last_purchase_per_client"])
@@ -87,18 +91,20 @@ def test_ranking_is_pruned_before_the_shuffle(spark, name):
     assert text.index("row_number(), 1, Final") < text.rindex("Exchange", 0, partial) < partial
 
 
-def test_client_key_adds_no_shuffle(spark):
+def test_client_key_needs_no_ranking(spark):
     exchanges = {
         name: plan(Q[name](spark, SF)).count("Exchange hashpartitioning")
         for name in ("curated_customers", "curated_customers_by_client")
     }
-    assert exchanges["curated_customers_by_client"] == exchanges["curated_customers"] - 1
+    assert exchanges["curated_customers_by_client"] < exchanges["curated_customers"]
+    assert "Window" not in plan(Q["curated_customers_by_client"](spark, SF))
 
 
 def test_funnel_reads_each_curated_table_once(spark):
     text = plan(Q["growth_funnel"](spark, SF))
     assert sum("l_suppkey" in s for s in scans(text)) == 1
-    assert sum("c_acctbal" in s for s in scans(text)) == 1
+    # clients with an address, and those without
+    assert sum("c_acctbal" in s for s in scans(text)) == 2
     assert "Expand" not in text
 
 
@@ -155,7 +161,7 @@ def skewed(spark, tmp_path_factory):
         ("curated_purchases", "comercio_id"),
         ("curated_customers", "o_custkey"),
         ("customer_purchases", "cliente_id"),
-        ("customer_purchases_by_client", "sal"),
+        ("customer_purchases_by_client", "cliente_id"),
     ],
 )
 def test_hot_keys_are_split_past_the_broadcast_size(spark, skewed, conf, name, join_key):
@@ -172,15 +178,23 @@ def test_hot_keys_are_split_past_the_broadcast_size(spark, skewed, conf, name, j
     assert any(join_key in line for line in splits)
 
 
-def test_long_email_list_spreads_the_deleted_clients(spark, skewed, conf):
-    conf(autoBroadcastJoinThreshold="-1", adaptive__coalescePartitions__enabled="false")
+def test_long_email_lists_split_the_deleted_clients(spark, skewed, conf):
+    conf(
+        shuffle__partitions="16",
+        autoBroadcastJoinThreshold="-1",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="4KB",
+        adaptive__skewJoin__skewedPartitionFactor="2",
+        adaptive__advisoryPartitionSizeInBytes="2KB",
+        adaptive__coalescePartitions__enabled="false",
+    )
     market = contract.from_star(spark, skewed)
-    gone = market.clientes.withColumn("email", F.when(F.col("id") >= 0, "deleted"))
-    df = customer_segments(gone, market.segments, contract.CFG, salts=4)
-    assert re.search(r"Exchange hashpartitioning\(lista_email#\d+, sal#", plan(df))
-    parts = df.select("cliente_id", F.spark_partition_id().alias("p")).groupBy("p").count()
-    counts = [r["count"] for r in parts.collect()]
-    assert sum(counts) == 1500 and max(counts) < 1500
+    gone = market.clientes.withColumn(
+        "email", F.when(F.col("id") % 2 == 0, "deleted").otherwise(F.col("email"))
+    )
+    df = customer_segments(gone.repartition(8), market.segments, contract.CFG)
+    splits = [line for line in final_plan(df).splitlines() if "skew=true" in line]
+    assert any("lista_email" in line for line in splits)
+    assert df.count() == 1500
 
 
 @pytest.mark.parametrize("name", ["curated_customers", "customer_purchases_by_client",
@@ -191,21 +205,85 @@ def test_parity_under_skew(spark, skewed, conf, name):
     compare(Q[name](spark, skewed), con, ORACLE[name])
 
 
-def test_tasks_are_sized_from_the_input(spark, conf):
-    conf(
-        adaptive__coalescePartitions__initialPartitionNum="8",
-        files__maxPartitionBytes=str(session.DEFAULT_SPLIT_BYTES),
-    )
+def test_shuffles_are_sized_from_the_input_alone(spark, conf):
+    conf(adaptive__coalescePartitions__initialPartitionNum="8")
+    splits = spark.conf.get("spark.sql.files.maxPartitionBytes")
 
-    def tuned(input_bytes):
-        session.tune(spark, input_bytes)
-        return [int(spark.conf.get(n)) for n in (session.INITIAL_PARTITIONS, session.SPLIT_BYTES)]
+    def tuned(*size):
+        session.tune(spark, *size)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == splits
+        return int(spark.conf.get(session.INITIAL_PARTITIONS, "1"))
 
-    assert tuned(1000) == [8, 128 << 20]
-    assert tuned(3 << 40) == [3072, 128 << 20]
-    assert tuned(100 << 40) == [40000, (100 << 40) // 40000]
+    assert tuned(100 << 40) == 100 << 10
+    assert tuned(3 << 40) == 3072
+    assert tuned(1000) == 1
+    assert tuned(3 << 40, 1 << 28) == 4 * 3072
 
 
-def test_stored_bytes(spark):
+def test_read_bytes_runs_no_job(spark):
     files = TESTDATA / "sf0.001"
-    assert session.stored_bytes(spark, SF) == sum(f.stat().st_size for f in files.iterdir())
+    df = Q["signups_total"](spark, SF)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("size", "read_bytes")
+    try:
+        size = session.read_bytes(df)
+        assert not tracker.getJobIdsForGroup("size")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    one = {t: (files / f"{t}.parquet").stat().st_size for t in ("customer", "orders", "lineitem")}
+    assert one["customer"] + one["orders"] <= size and size % one["customer"] != 0
+    assert session.read_bytes(Q["db_app"](spark, SF)) == (files / "events.parquet").stat().st_size
+
+
+def test_new_files_are_seen(spark, tmp_path):
+    for t in ("orders", "lineitem", "customer", "supplier", "nation", "region", "events"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    before = Q["curated_purchases"](spark, str(tmp_path)).count()
+    more = spark.read.parquet(f"{SF}/orders.parquet").withColumn("o_orderkey", F.col("o_orderkey") + 10**6)
+    more.write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    assert Q["curated_purchases"](spark, str(tmp_path)).count() == 2 * before
+
+
+def test_names_are_read_not_made_up(spark, tmp_path):
+    """Other names, some missing, and orders of customers that are not there."""
+    for t in ("orders", "lineitem", "supplier", "nation", "region", "events"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    renamed = spark.read.parquet(f"{SF}/customer.parquet").withColumn(
+        "c_name", F.expr("IF(c_custkey % 11 = 0, NULL, 'Pessoa ' || c_custkey % 13)")
+    )
+    renamed.where("c_custkey % 6 <> 0").write.parquet(f"{tmp_path}/customer.parquet")
+    con = connect(str(tmp_path), "/*.parquet")
+    for name in (
+        "curated_purchases", "orders_per_client", "client_recency", "last_purchase_per_client",
+        "spend_per_client", "client_recency_by_name", "snapshot_roundtrip", "stored_purchases",
+    ):
+        compare(Q[name](spark, str(tmp_path)), con, ORACLE[name])
+
+
+def test_reports_without_names_do_not_read_customers(spark):
+    for name in ("gmv_monthly", "orders_total", "buyers_total"):
+        assert not any("c_custkey" in s for s in scans(plan(Q[name](spark, SF))))
+
+
+def test_client_key_ranks_nothing_and_filters_at_the_scan(spark, tmp_path):
+    rows = spark.createDataFrame([], SCHEMAS["clientes"])
+    rows.write.parquet(f"{tmp_path}/clientes")
+    spark.createDataFrame([], SCHEMAS["enderecos"]).write.parquet(f"{tmp_path}/enderecos")
+    spark.createDataFrame([], SCHEMAS["segments"]).write.parquet(f"{tmp_path}/segments")
+    m = from_files(spark, str(tmp_path))
+    customers = {
+        key: curate_customers(m.clientes, m.enderecos, m.segments, replace(contract.CFG, dedup_key=key))
+        for key in ("client", "address")
+    }
+    by_client = plan(signups.signups_total(customers["client"], contract.CFG))
+    assert "Window" not in by_client
+    pushed = [s for s in scans(plan(signups.signups_total(customers["address"], contract.CFG)))
+              if "GreaterThanOrEqual(time" in s]
+    assert any("GreaterThanOrEqual(time" in s for s in scans(by_client)) and len(pushed) == 1
+
+
+def test_storing_again_drops_the_last_folder(spark):
+    first = Q["stored_purchases"](spark, SF).inputFiles()[0]
+    again = Q["stored_purchases"](spark, SF)
+    assert again.count() == 1500 and again.inputFiles()[0] != first
+    assert not Path(first.removeprefix("file://").replace("%3D", "=")).exists()

@@ -136,9 +136,9 @@ def test_purchases(market, name):
 def test_by_client(market):
     m, con = market
     customers = _customers(m, Config(dedup_key="client"))
-    compare(customers.drop("time"), con, _sql("curated_customers_by_client", "cl.id"))
-    detail = customer_purchases(customers, _purchases(m), salts=3)
-    compare(detail, con, _sql("customer_purchases_by_client", "cl.id"))
+    compare(customers.drop("time"), con, _sql("curated_customers_by_client", "c.id"))
+    detail = customer_purchases(customers, _purchases(m))
+    compare(detail, con, _sql("customer_purchases_by_client", "c.id"))
 
 
 def test_traffic_detail_and_funnel(market):
@@ -151,11 +151,11 @@ def test_traffic_detail_and_funnel(market):
 
 
 def test_every_report_is_covered():
-    elsewhere = {n for n in contract.report_queries() if n.startswith(("stored_", "snapshot_", "app_"))}
+    elsewhere = {n for n in contract.report_queries() if n.startswith(("stored_", "snapshot_", "app_", "published_"))}
     elsewhere |= {
         "curated_customers_by_client", "customer_purchases", "customer_purchases_by_client",
         "customer_segments", "customer_snapshot_roundtrip", "growth_funnel", "gmv_calendar",
         "active_signups_calendar", "orders_monthly_pedidos_mes", "client_recency_by_name",
-        "literal_quarter_filter",
+        "literal_quarter_filter", "db_app", "account_years",
     }
     assert set(contract.report_queries()) == elsewhere | set(ON_CUSTOMERS) | set(ON_PURCHASES)

@@ -3,6 +3,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from feira.config import Config
 from feira.operators.aggregates import count_by
@@ -141,8 +142,10 @@ def test_count_by_collation(spark):
     df = spark.createDataFrame([("São",), ("SAO",), ("Rio",), (None,)], "cidade string")
     binary = {r[1] for r in count_by(df, "cidade", "n").collect()}
     assert binary == {1, 0}
-    folded = sorted(r.n for r in count_by(df, "cidade", "n", "UNICODE_CI_AI").collect())
-    assert folded == [0, 1, 2]
+    for turned in (df, df.orderBy(F.desc("cidade")), df.orderBy("cidade")):
+        folded = count_by(turned.coalesce(1), "cidade", "n", "UNICODE_CI_AI")
+        assert folded.dtypes == [("cidade", "string"), ("n", "bigint")]
+        assert {tuple(r) for r in folded.collect()} == {("SAO", 2), ("Rio", 1), (None, 0)}
 
 
 def test_reports_follow_the_collation(spark):
@@ -154,9 +157,10 @@ def test_reports_follow_the_collation(spark):
         (3, 1, "jose", "3", 2, "Entregue", at),
     )
     compras = curate_purchases(orders, shops, cfg)
-    assert [tuple(r)[1:] for r in purchases.seller_sales(compras, cfg).collect()] == [
-        (2, Decimal("4.00"))
-    ]
+    assert rows(purchases.seller_sales(compras, cfg)) == [("PAO", 2, Decimal("4.00"))]
+    assert rows(purchases.seller_month(compras, cfg)) == [("05-2022", "PAO", 2)]
+    assert rows(purchases.seller_month_literal(compras, cfg)) == [("05-2022", "PAO", 2)]
+    assert purchases.seller_sales(compras, cfg).dtypes[0] == ("seller", "string")
     assert [r.compra_id for r in purchases.last_purchase_per_client(compras, cfg).collect()] == [3]
     binary = curate_purchases(orders, shops, CFG)
     assert purchases.seller_sales(binary, CFG).count() == 2

@@ -3,6 +3,8 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feira.config import Config
 from feira.operators.tables import create_table, publish, refresh_table
@@ -29,6 +31,7 @@ def _tables(spark):
         "enderecos": enderecos(spark, (1, 1, "x")),
         "analytics_app": app(spark, (date(2022, 1, 1), 3, 1)),
         "segments": segments(spark, ("ana@mail.com", "MINIMARKET")),
+        "db_app": spark.createDataFrame([("x",), ("y",)], "anything string"),
     }
 
 
@@ -58,6 +61,7 @@ def test_catalog_tables(spark, market):
     for name in SCHEMAS:
         getattr(market, name).createOrReplaceTempView(name)
     assert from_catalog(spark).pedidos.count() == 3
+    assert rows(from_catalog(spark).db_app) == [("x",), ("y",)]
     with pytest.raises(AttributeError):
         from_catalog(spark).fornecedores
     for name in SCHEMAS:
@@ -156,13 +160,47 @@ def test_catalog_table_is_recreated(spark, market):
     spark.sql("DROP TABLE compras_teste")
 
 
+def test_catalog_types_are_enforced(spark, market):
+    loose = market.pedidos.withColumn("valor", F.col("valor").cast("double")).withColumn(
+        "id", F.col("id").cast("string")
+    )
+    loose.createOrReplaceTempView("pedidos")
+    read = from_catalog(spark).pedidos
+    assert read.schema.simpleString() == StructType.fromDDL(SCHEMAS["pedidos"]).simpleString()
+    assert sorted(rows(read), key=str) == sorted(rows(market.pedidos), key=str)
+
+
+def test_refresh_replaces_whatever_the_session_says(spark, tmp_path, market):
+    compras, _ = _curated(market)
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    spark.conf.set(mode, "dynamic")
+    try:
+        refresh_table(compras, str(tmp_path / "t"), ("ano", "trimestre"))
+        again = refresh_table(compras.where("compra_id = 1"), str(tmp_path / "t"), ("ano", "trimestre"))
+        assert again.count() == 1
+        create_table(compras, "trocada", ("ano", "trimestre"))
+        assert create_table(compras.where("compra_id = 1"), "trocada", ("ano", "trimestre")).count() == 1
+    finally:
+        spark.conf.unset(mode)
+        spark.sql("DROP TABLE IF EXISTS trocada")
+
+
+def test_empty_tables_are_published(spark, tmp_path, market):
+    compras, _ = _curated(market)
+    refresh_table(compras.where("false"), str(tmp_path / "t"), ("ano", "trimestre"))
+    publish(spark, "vazia", str(tmp_path / "t"), compras.schema)
+    assert spark.table("vazia").schema.simpleString() == compras.schema.simpleString()
+    assert spark.table("vazia").count() == 0
+    spark.sql("DROP VIEW vazia")
+
+
 def test_publish_swaps_versions(spark, tmp_path, market):
     compras, _ = _curated(market)
     refresh_table(compras.where("compra_id = 1"), str(tmp_path / "v1"))
     refresh_table(compras, str(tmp_path / "v2"))
-    publish(spark, "analytics_compras", str(tmp_path / "v1"))
+    publish(spark, "analytics_compras", str(tmp_path / "v1"), compras.schema)
     reader = spark.table("analytics_compras")
-    publish(spark, "analytics_compras", str(tmp_path / "v2"))
+    publish(spark, "analytics_compras", str(tmp_path / "v2"), compras.schema)
     assert (reader.count(), spark.table("analytics_compras").count()) == (1, 3)
     spark.sql("DROP VIEW analytics_compras")
 
@@ -170,17 +208,19 @@ def test_publish_swaps_versions(spark, tmp_path, market):
 def test_warehouse(spark, tmp_path, market):
     funnel = warehouse.store_funnel(market, str(tmp_path), CFG)
     assert rows(funnel) == [(3, 1, 1, 1, 1, 1)]
-    warehouse.publish_tables(spark, str(tmp_path))
-    orders = spark.sql(
-        """SELECT COUNT(compra_id) AS pedidos_2022 FROM analytics_compras
-           WHERE status_pedido = '1' AND quarter IN ('1-2022', '4-2022', '1-2023')"""
+    warehouse.publish_tables(spark, str(tmp_path), CFG)
+    spent = spark.sql(
+        """SELECT ano, trimestre, sum(valor) AS gasto, min(data_compra) AS primeira
+           FROM analytics_compras WHERE status_pedido = 1 GROUP BY ALL ORDER BY ALL"""
     )
-    assert rows(orders) == [(2,)]
-    segments_ = spark.sql(
-        """SELECT purchase_type, COUNT(purchase_type) AS n FROM analytics_clientes
-           WHERE status_cliente = '1' AND email NOT IN ('deleted') GROUP BY purchase_type"""
+    assert rows(spent) == [
+        (2022, 1, Decimal("10.10"), "2022-01-05"), (2022, 4, Decimal("20.20"), "2022-12-05"),
+    ]
+    people = spark.sql(
+        """SELECT cliente_id, purchase_type, cep, row_num FROM analytics_clientes
+           ORDER BY cliente_id"""
     )
-    assert rows(segments_) == [("MINIMARKET", 2)]
+    assert rows(people) == [(1, "MINIMARKET", "x", 1), (2, "MINIMARKET", None, 1)]
     assert spark.table("growth_funil").columns == funnel.columns
     for name in (warehouse.PURCHASES, warehouse.CUSTOMERS, warehouse.FUNNEL):
         spark.sql(f"DROP VIEW {name}")
@@ -201,5 +241,7 @@ def test_cluster_needs_a_shared_folder():
         class sparkContext:
             master = "yarn"
 
-    with pytest.raises(ValueError):
-        shared_folder(Cluster, "t")
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://host:7077"):
+        Cluster.sparkContext.master = master
+        with pytest.raises(ValueError):
+            shared_folder(Cluster, "t")
