@@ -89,7 +89,7 @@ class Repeats:
         self.order = order[repeated]
         heads = ~same[:-1][repeated]
         self._level(least, heads, n)
-        self._sort(n)
+        self._sort(np.append(tokens, np.zeros(least, np.uint64)), n)
         self.lengths = self._lengths(n)
 
     def _level(self, size: int, heads: np.ndarray, n: int) -> np.ndarray:
@@ -100,17 +100,24 @@ class Repeats:
         self.levels.append((size, rank))
         return group
 
-    def _sort(self, n: int) -> None:
-        """Double the prefix that orders the suffixes until no two share it."""
+    def _sort(self, tokens: np.ndarray, n: int) -> None:
+        """Double the prefix that orders the suffixes until no two share it.
+
+        Runs that occur once have no rank to compare; so the next ``least`` - 1 tokens order first, and
+        suffixes with a longer common prefix always stand together.
+        """
+        end = self.offsets[np.searchsorted(self.offsets, self.order, "right")] if len(self.order) else self.order
         while len(self.order):
             size, rank = self.levels[-1]
             group = rank[self.order]
-            follow = rank[np.minimum(self.order + size, n)]
-            by = np.lexsort((follow, group))
+            at = self.order + size
+            ahead = [np.where(at + k < end, tokens[np.minimum(at + k, n)], np.uint64(0)) for k in range(self.least - 1)]
+            follow = rank[np.minimum(at, n)]
+            by = np.lexsort((follow, *reversed(ahead), group))
             tied = np.zeros(len(by), bool)
             g, f = group[by], follow[by]
             tied[1:] = (g[1:] == g[:-1]) & (f[1:] == f[:-1])
-            self.order = self.order[by]
+            self.order, end = self.order[by], end[by]
             if not tied.any():
                 return
             self._level(2 * size, ~tied, n)

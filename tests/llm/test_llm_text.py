@@ -53,19 +53,26 @@ def test_quality_measures_match_brute_force(docs, made):
 def test_longest_repeats_of_any_least_length(least):
     rng = random.Random(least)
     bodies = [" ".join(rng.choices("abc", k=rng.randrange(60))) for _ in range(80)]
+    run = rng.choices("abcdefgh", k=40)  # repeats of many lengths, three and more times
+    bodies += [
+        " ".join(w for _ in range(6) for w in [*run[: rng.randrange(8, 40)], f"x{rng.random()}"]) for _ in range(40)
+    ]
     import pyarrow as pa
 
     got = quality.measure(pa.array(bodies), quality.Rules(min_words=least))
     for k, body in enumerate(bodies):
         ws = body.split()
-        best = 0
+        best, covered = 0, set()
         for i in range(len(ws)):
             for j in range(i):
                 n = 0
                 while i + n < len(ws) and ws[i + n] == ws[j + n]:
                     n += 1
                 best = max(best, n)
+                if n >= least:
+                    covered |= {*range(i, i + n), *range(j, j + n)}
         assert got["longest_repeat"][k] == (best if best >= least else 0)
+        assert got["n_covered_words"][k] == len(covered)
 
 
 def test_quality_filter_keeps_rows_whole(docs, made, empty):
