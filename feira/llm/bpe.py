@@ -42,8 +42,8 @@ NEWER = """
 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
 """
 
-MEMORY = 800_000  # words kept, and pieces
-SLICE = 6 << 20  # bytes of text encoded together
+MEMORY = 600_000  # words kept, and a sixth as many pieces of words
+SLICE = 4 << 20  # bytes of text encoded together
 MANY = 4096  # trees side by side
 NO_MERGE = 1 << 62
 
@@ -244,7 +244,13 @@ class Bpe:
                 whole.append(k)
             else:
                 pieces["\0" + words[0]] = self.cut(words[0])
-        unseen = list({p for found in pieces.values() for p in found} - self.pieces_met.keys())
+        # a piece that begins with a space was met if the word after it is kept and is one piece
+        known = self.words.keys()
+        wanted = {p for found in pieces.values() for p in found} - self.pieces_met.keys()
+        for piece in [p for p in wanted if p[0] == " " and p[1:] in known and len(self.cut(p)) == 1]:
+            self.pieces_met[piece] = self.words[piece[1:]]
+            wanted.discard(piece)
+        unseen = list(wanted)
         for piece, ids in zip(unseen, self.merge_many([p.encode() for p in unseen])):
             self.pieces_met[piece] = struct.pack(f"<{len(ids)}I", *ids)
         met = self.pieces_met.__getitem__
@@ -276,8 +282,8 @@ class Bpe:
 
     def _forget(self, words: set[str], pieces: list[str]) -> None:
         """Keep the memories small: no long strings, and everything goes when there are too many."""
-        for memory, added in ((self.words, words), (self.pieces_met, pieces)):
-            if len(memory) > MEMORY:
+        for memory, most, added in ((self.words, MEMORY, words), (self.pieces_met, MEMORY // 6, pieces)):
+            if len(memory) > most:
                 memory.clear()
             else:
                 for key in added:
