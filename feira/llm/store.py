@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feira.llm import files
+
 #: Stands for a null id wherever rows are ordered or joined by id: nulls come first.
 NULL_ID = -(2**63)
 
@@ -20,16 +23,19 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
+    """Give the executors this package, once per application, from the shared folder."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="feira-code-")) / "feira_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))  # Spark sends it to every executor
+    out = files.Output(scratch(spark, "code"), ".zip")
+    out.write(packed.getvalue())
+    out.close()
+    spark.sparkContext.addPyFile(out.uri)
     _shipped.add(app)
 
 
