@@ -3,6 +3,7 @@
 Every byte covered by a string of ``LENGTH`` bytes that also starts earlier
 (smaller id, or same text and earlier start) is removed. Strings are judged on the input.
 
+0. A text that equals a whole earlier one, and every string of it, starts earlier: all its bytes go without sorting its suffixes.
 1. Of all suffixes only those at anchors are sorted. The anchor of a string is its least-hashed run of LEAD
    bytes, so equal strings have their anchors at the same place, and an anchor stands for the
    few strings around it. Anchors whose lead occurs once begin no repeat; they are
@@ -256,9 +257,37 @@ def _found(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, "did long, h long, start long, stop long, string binary")
 
 
+def _copies(df: DataFrame, folder: str) -> DataFrame:
+    """``did, h, n`` of the texts of LENGTH bytes or more that equal a whole text of a smaller id, by 128 bits and length.
+
+    An id that also has another text is left to the suffix array.
+    """
+    other = F.xxhash64(F.lit("copy"), "text")
+    light = store.stored(
+        df.select("did", "h", other.alias("h2"), F.octet_length("text").cast("long").alias("n")), f"{folder}/texts"
+    )
+    # stored, so that the join lays this side out itself and can split a text with many copies
+    firsts = store.stored(
+        light.where(F.col("n") >= LENGTH)
+        .groupBy("h", "h2", "n")
+        .agg(F.min("did").alias("first"), F.max("did").alias("last"))
+        .where("first < last")
+        .drop("last"),
+        f"{folder}/firsts",
+    )
+    marked = light.join(firsts, ["h", "h2", "n"], "left").withColumn(
+        "copy", F.coalesce(F.col("did") > F.col("first"), F.lit(False))
+    )
+    by_id = marked.groupBy("did").agg(
+        F.min("copy").alias("copy"), F.min("h").alias("h"), F.max("h").alias("other"), F.max("n").alias("n")
+    )
+    return store.stored(by_id.where("copy AND h = other").select("did", "h", "n"), f"{folder}/copies")
+
+
 def removed_spans(df: DataFrame, folder: str) -> DataFrame:
     """``did, h, spans`` of the texts that lose bytes, from ``did, h, text``; spans may overlap."""
-    places = _repeated(_leads(df.select("did", "text")))
+    copies = _copies(df, folder)
+    places = _repeated(_leads(df.select("did", "text"))).join(copies, "did", "left_anti")
     records = _records(df.select("did", "h", "text").join(places, "did").select("did", "h", "text", "places"))
     by = (F.expr(f"substring(blob, back + 1, {LEAD})"), "did", "h", "at")
     found = store.stored(_found(records.repartitionByRange(*by).sortWithinPartitions(*by)), f"{folder}/found")
@@ -271,8 +300,9 @@ def removed_spans(df: DataFrame, folder: str) -> DataFrame:
         f"{folder}/earliest",
     )
     across = strings.join(earliest, "string").where(F.struct("did", "h", "start") > F.col("earliest"))
-    spans = found.where("string is null").union(across.select(found.columns))
-    return spans.groupBy("did", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = found.where("string is null").union(across.select(found.columns)).drop("string")
+    whole = copies.select("did", "h", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
+    return spans.union(whole).groupBy("did", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
