@@ -16,10 +16,12 @@ other than id and text are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -93,6 +95,10 @@ class Bpe:
         order = np.argsort(np.array(list(self.ranks)))
         self.pair_keys = np.array(list(self.ranks))[order]
         self.pair_ranks = np.array(list(self.ranks.values()))[order]
+        self.flat = np.frombuffer(b"".join(self.pieces[i] for i in sorted(self.pieces)), np.uint8)
+        self.length = np.zeros(max(self.pieces) + 1, np.int32)
+        self.length[sorted(self.pieces)] = [len(self.pieces[i]) for i in sorted(self.pieces)]
+        self.start = np.cumsum(self.length, dtype=np.int32) - self.length
         self.words: dict[str, bytes] = {}  # ids of words after a space
         self.pieces_met: dict[str, bytes] = {}
 
@@ -219,10 +225,15 @@ class Bpe:
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_many(self, bodies: list[str], special: bool = True) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers; with ``special``, the strings of special tokens are those tokens.
+        with _no_cycles():
+            return self._encode_many(bodies, special)
 
-        Texts are cut at spaces first: a piece never runs across a space that a
-        visible character follows. What was not met lately is merged side by side.
+    def _encode_many(self, bodies: list[str], special: bool) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        With ``special``, the strings of special tokens are those tokens. Texts are cut at spaces
+        first: a piece never runs across a space that a visible character follows. What was not met
+        lately is merged side by side.
         """
         parts: list[str] = []
         counts = []
@@ -235,8 +246,9 @@ class Bpe:
         spaced: set[str] = set()
         for words in cut:
             spaced.update(words[1:])
-        odd = {w for w in spaced if not w or w[0].isspace()}
-        new = spaced - self.words.keys() - odd
+        new = spaced - self.words.keys()
+        odd = {w for w in new if not w or w[0].isspace()}
+        new -= odd
         pieces = {w: self.cut(" " + w) for w in new}
         for k, (part, words) in enumerate(zip(parts, cut)):
             if len(words) > 1 and odd and not odd.isdisjoint(words[1:]):
@@ -292,7 +304,12 @@ class Bpe:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        tokens = np.frombuffer(ids, "<u4")
+        sizes = self.length[tokens]
+        ends = np.cumsum(sizes)
+        index = np.repeat(self.start[tokens] - (ends - sizes), sizes)
+        index += np.arange(len(index))
+        return self.flat[index].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -301,6 +318,18 @@ def tokenizer(spec: str) -> Bpe:
     return Bpe(spec)
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without the cycle collector: encoding makes many small lists and no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def read_spec(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
