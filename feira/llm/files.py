@@ -52,3 +52,10 @@ def read_range(uri: str, start: int, size: int) -> bytes:
 def read_all(uri: str) -> bytes:
     with open_stream(uri) as f:
         return f.read()
+
+
+def drop(folder: str) -> None:
+    """Remove a folder and all it holds, if it is there."""
+    system, path = _resolve(folder)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)

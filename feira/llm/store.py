@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import re
 import tempfile
@@ -43,13 +44,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
     Only a session on this machine alone, as in tests, may leave that unset.
+    Results may be read from it as long as the driver lives; when it ends, the folder goes.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder all nodes share")
         root = Path(tempfile.mkdtemp(prefix="feira-llm-")).as_uri()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(files.drop, folder)
+    return folder
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
