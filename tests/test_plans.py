@@ -79,9 +79,8 @@ def test_unused_address_columns_cost_nothing(spark):
     text = plan(Q["signups_total"](spark, SF))
     assert "n_name" not in text and "r_name" not in text
     assert "SortAggregate" not in text and "LocalTableScan" not in text
-    # clients with and without an address are planned apart: each reads customers once and
-    # orders twice, for the registration date and for who has an address
-    assert len(scans(text)) == 6
+    # customers and orders are read, orders twice
+    assert len(scans(text)) == 3
 
 
 @pytest.mark.parametrize("name", ["curated_customers", "last_purchase_per_client"])
@@ -103,8 +102,7 @@ def test_client_key_needs_no_ranking(spark):
 def test_funnel_reads_each_curated_table_once(spark):
     text = plan(Q["growth_funnel"](spark, SF))
     assert sum("l_suppkey" in s for s in scans(text)) == 1
-    # clients with an address, and those without
-    assert sum("c_acctbal" in s for s in scans(text)) == 2
+    assert sum("c_acctbal" in s for s in scans(text)) == 1
     assert "Expand" not in text
 
 
@@ -271,15 +269,11 @@ def test_client_key_ranks_nothing_and_filters_at_the_scan(spark, tmp_path):
     spark.createDataFrame([], SCHEMAS["enderecos"]).write.parquet(f"{tmp_path}/enderecos")
     spark.createDataFrame([], SCHEMAS["segments"]).write.parquet(f"{tmp_path}/segments")
     m = from_files(spark, str(tmp_path))
-    customers = {
-        key: curate_customers(m.clientes, m.enderecos, m.segments, replace(contract.CFG, dedup_key=key))
-        for key in ("client", "address")
-    }
-    by_client = plan(signups.signups_total(customers["client"], contract.CFG))
+    cfg = replace(contract.CFG, dedup_key="client")
+    customers = curate_customers(m.clientes, m.enderecos, m.segments, cfg)
+    by_client = plan(signups.signups_total(customers, cfg))
     assert "Window" not in by_client
-    pushed = [s for s in scans(plan(signups.signups_total(customers["address"], contract.CFG)))
-              if "GreaterThanOrEqual(time" in s]
-    assert any("GreaterThanOrEqual(time" in s for s in scans(by_client)) and len(pushed) == 1
+    assert any("GreaterThanOrEqual(time" in s for s in scans(by_client))
 
 
 def test_storing_again_drops_the_last_folder(spark):
