@@ -18,10 +18,9 @@ from feira.config import Config  # noqa: E402
 from feira.functions.dates import age_years  # noqa: E402
 from feira.operators.period import in_quarter_tokens  # noqa: E402
 from feira.plans import curated, funnel, purchases, signups, traffic, warehouse  # noqa: E402
-from feira.session import drop_folder, read_bytes, shared_folder, table_stamps, tune  # noqa: E402
+from feira.session import drop_folder, read_bytes, shared_folder, tune  # noqa: E402
 from feira.sources.marketplace import Marketplace  # noqa: E402
 from feira.sources.snapshot import from_report_snapshot, to_report_snapshot  # noqa: E402
-from feira.sources.star import SCHEMAS as STAR_SCHEMAS  # noqa: E402
 from feira.sources.star import STAR_CONFIG, from_star  # noqa: E402
 
 # The text operators are optional: without their folder the rest works as it is.
@@ -45,17 +44,9 @@ BOUGHT, SIGNED = ("pedidos", "comercios"), ("clientes", "enderecos")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-# the tables opened last for each application and folder, with the stamps they had then
-_opened: dict[tuple[str, str], tuple[list, Marketplace]] = {}
-
-
 def _tables(spark: SparkSession, sf_dir: str) -> Marketplace:
-    """The source tables of a folder, opened anew whenever a file or folder of them changed."""
-    stamps = table_stamps(spark, [f"{sf_dir}/{name}.parquet" for name in STAR_SCHEMAS])
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _opened or _opened[key][0] != stamps or not all(stamps):
-        _opened[key] = stamps, from_star(spark, sf_dir)
-    return _opened[key][1]
+    """The source tables of a folder, listed anew by each call, so that files added at any depth are seen."""
+    return from_star(spark, sf_dir)
 
 
 @lru_cache(maxsize=32)

@@ -60,21 +60,6 @@ def read_bytes(df: DataFrame) -> int:
     )
 
 
-def table_stamps(spark: SparkSession, paths: list[str]) -> list[tuple[int, int] | None]:
-    """Size and time of change of each file or folder, one status call each.
-
-    A folder's time changes when a file in it is added, replaced or removed. ``None`` where a store
-    keeps no such time; then nothing may be remembered.
-    """
-    stamps = []
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
-        changed = status.getModificationTime()
-        stamps.append((status.getLen(), changed) if changed else None)
-    return stamps
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one the cluster names in ``spark.checkpoint.dir``.
 

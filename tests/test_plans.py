@@ -242,6 +242,16 @@ def test_new_files_are_seen(spark, tmp_path):
     assert Q["curated_purchases"](spark, str(tmp_path)).count() == 2 * before
 
 
+def test_new_files_in_subfolders_are_seen(spark, tmp_path):
+    for t in ("orders", "lineitem", "customer", "supplier", "nation", "region", "events"):
+        table = spark.read.parquet(f"{SF}/{t}.parquet").withColumn("lote", F.lit(1))
+        table.write.partitionBy("lote").parquet(f"{tmp_path}/{t}.parquet")
+    before = Q["curated_purchases"](spark, str(tmp_path)).count()
+    more = spark.read.parquet(f"{SF}/orders.parquet").withColumn("o_orderkey", F.col("o_orderkey") + 10**6)
+    more.write.mode("append").parquet(f"{tmp_path}/orders.parquet/lote=1")
+    assert Q["curated_purchases"](spark, str(tmp_path)).count() == 2 * before
+
+
 def test_names_are_read_not_made_up(spark, tmp_path):
     """Other names, some missing, and orders of customers that are not there."""
     for t in ("orders", "lineitem", "supplier", "nation", "region", "events"):
