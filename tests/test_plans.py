@@ -176,6 +176,20 @@ def test_hot_keys_are_split_past_the_broadcast_size(spark, skewed, conf, name, j
     assert any(join_key in line for line in splits)
 
 
+@pytest.mark.parametrize("name", ["curated_purchases", "orders_per_client"])
+def test_names_split_a_hot_customer(spark, skewed, conf, name):
+    conf(
+        shuffle__partitions="16",
+        autoBroadcastJoinThreshold="-1",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="2KB",
+        adaptive__skewJoin__skewedPartitionFactor="2",
+        adaptive__advisoryPartitionSizeInBytes="1KB",
+        adaptive__coalescePartitions__enabled="false",
+    )
+    splits = [line for line in final_plan(Q[name](spark, skewed)).splitlines() if "skew=true" in line]
+    assert any("c_custkey" in line for line in splits)
+
+
 def test_long_email_lists_split_the_deleted_clients(spark, skewed, conf):
     conf(
         shuffle__partitions="16",
