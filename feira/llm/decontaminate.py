@@ -122,54 +122,78 @@ def find(words: np.ndarray, at: np.ndarray, block: Block, window: int) -> tuple[
     return place[first], item[first], offset[first], place[last] + length[last] - place[first]
 
 
-def write_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[str]:
-    """Store the items as blocks of bounded size that tasks read one after another."""
-    folder = store.scratch(benchmark.sparkSession, "benchmark")
+def write_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[tuple[str, ...]]:
+    """Store the items as files of bounded size; returns the files of each block that tasks read one after another.
+
+    Tasks split, hash and write the items. The driver gets one row for each file and puts small files together.
+    """
+    store.ship(benchmark.sparkSession)
+    folder, limit = store.scratch(benchmark.sparkSession, "benchmark"), BLOCK_BYTES
     rows = benchmark.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    uris: list[str] = []
-    ids: list[str] = []
-    texts: list[str] = []
-    held = 0
 
-    def flush() -> None:
-        words, at = tokens(pa.array(texts, pa.string()))
-        out = io.BytesIO()
-        np.savez(out, words=words, at=at, ids=np.frombuffer(json.dumps(ids).encode(), np.uint8))
-        f = files.Output(folder, ".npz")
-        f.write(out.getvalue())
-        f.close()
-        uris.append(f.uri)
-        ids.clear()
-        texts.clear()
-
-    for item, body in rows.toLocalIterator():
-        ids.append(item)
-        texts.append(body)
-        held += len(body)
-        if held > BLOCK_BYTES:
-            flush()
-            held = 0
-    if ids:
-        flush()
-    return uris
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            for part in text.slices(batch, 1, limit):
+                held.append(part)
+                size += len(text.text_bytes(part.column(1))[0])
+                if size > limit:
+                    yield _write(held, size, f"{folder}/files")
+                    held, size = [], 0
+        if held:
+            yield _write(held, size, f"{folder}/files")
+
+    listed = store.stored(rows.mapInArrow(run, "uri string, bytes long"), f"{folder}/list")
+    blocks: list[tuple[str, ...]] = []
+    block: list[str] = []
+    held = 0
+    for uri, size in listed.toLocalIterator():
+        if block and held + size > limit:
+            blocks.append(tuple(block))
+            block, held = [], 0
+        block.append(uri)
+        held += size
+    return [*blocks, tuple(block)] if block else blocks
+
+
+def _write(parts: list[pa.RecordBatch], size: int, folder: str) -> pa.RecordBatch:
+    """Write items as one file; returns its ``uri, bytes``."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    words, at = tokens(table.column(1).chunk(0))
+    ids = json.dumps(table.column(0).to_pylist()).encode()
+    out = io.BytesIO()
+    np.savez(out, words=words, at=at, ids=np.frombuffer(ids, np.uint8))
+    f = files.Output(folder, ".npz")
+    f.write(out.getvalue())
+    f.close()
+    return pa.RecordBatch.from_arrays([pa.array([f.uri]), pa.array([size], pa.int64())], ["uri", "bytes"])
 
 
 @lru_cache(maxsize=1)
-def _block(uri: str, window: int) -> Block:
-    with np.load(io.BytesIO(files.read_all(uri))) as z:
-        return Block(z["words"], z["at"], [i.encode() for i in json.loads(z["ids"].tobytes())], window)
+def _block(uris: tuple[str, ...], window: int) -> Block:
+    words: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    ids: list[bytes] = []
+    for uri in uris:
+        with np.load(io.BytesIO(files.read_all(uri))) as z:
+            words.append(z["words"])
+            sizes.append(np.diff(z["at"]))
+            ids += [i.encode() for i in json.loads(z["ids"].tobytes())]
+    return Block(np.concatenate(words), np.append(0, np.cumsum(np.concatenate(sizes))), ids, window)
 
 
-def _judge(col: pa.Array, uris: list[str], window: int) -> tuple[dict[str, np.ndarray], list[list[bytes]], list[tuple]]:
+def _judge(col: pa.Array, blocks: list[tuple[str, ...]], window: int) -> tuple[dict[str, np.ndarray], list[list[bytes]], list[tuple]]:
     """Words, hit words and items by text, and the matches, over all blocks."""
     words, at = tokens(col)
     hit = np.zeros(len(words) + 1, np.int64)
     items: list[set[bytes]] = [set() for _ in range(len(col))]
     matches = []
-    for uri in uris:
-        block = _block(uri, window)
+    for uris in blocks:
+        block = _block(uris, window)
         place, item, offset, length = find(words, at, block, window)
         np.add.at(hit, place, 1)
         np.add.at(hit, place + length, -1)
@@ -193,7 +217,7 @@ def annotate(
     document and in the item, and length in words.
     """
     store.ship(df.sparkSession)
-    uris = write_blocks(benchmark, item_col, item_text, window)
+    blocks = write_blocks(benchmark, item_col, item_text, window)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     match = pa.struct(
         [("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]
@@ -202,7 +226,7 @@ def annotate(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.slices(batch, 1):
-                judged, items, found = _judge(part.column(1), uris, window)
+                judged, items, found = _judge(part.column(1), blocks, window)
                 per: list[list[dict]] = [[] for _ in items]
                 for d, i, p, o, n in found:
                     per[d].append({"item_id": i.decode(), "doc_word": p, "item_word": o, "n_words": n})
@@ -232,13 +256,13 @@ def remove_contaminated(
 ) -> DataFrame:
     """The rows of ``df`` that are not contaminated, with all their columns as they are."""
     store.ship(df.sparkSession)
-    uris = write_blocks(benchmark, item_col, item_text, window)
+    blocks = write_blocks(benchmark, item_col, item_text, window)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.slices(batch, at):
-                judged, _, _ = _judge(part.column(at), uris, window)
+                judged, _, _ = _judge(part.column(at), blocks, window)
                 yield part.filter(pa.array(~judged["contaminated"]))
 
     return df.mapInArrow(run, df.schema)

@@ -152,6 +152,19 @@ def test_no_benchmark_and_no_documents(spark, docs, empty):
     assert decontaminate.annotate(empty, "doc_id", "text", none, "item_id", "text").count() == 0
 
 
+def test_the_driver_reads_no_benchmark_item(spark, items, monkeypatch):
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    whole, fetched = type(bench).toLocalIterator, []
+    monkeypatch.setattr(
+        type(bench), "toLocalIterator", lambda df, *a, **k: fetched.append(df.columns) or whole(df, *a, **k)
+    )
+    blocks = decontaminate.write_blocks(bench, "item_id", "text", 13)
+    assert fetched == [["uri", "bytes"]]
+    assert len(blocks) == 1 and len(blocks[0]) == 3  # a file of each task
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    assert len(decontaminate.write_blocks(bench, "item_id", "text", 13)) > 3
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(VOCABULARY)
