@@ -74,7 +74,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _leads(df: DataFrame) -> DataFrame:
-    """``did, at, lead, sure`` of all anchors of ``did, text``; ``sure``: the slice itself repeats the lead."""
+    """``did, at, lead, sure`` of all anchors of ``did, text``; ``sure``: the slice itself repeats the lead.
+
+    ``did`` may be any key; texts that share one get the places of both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,15 +260,36 @@ def _found(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, "did long, h long, start long, stop long, string binary")
 
 
-def _copies(df: DataFrame, folder: str) -> DataFrame:
+def _light(df: DataFrame, folder: str) -> DataFrame:
+    """``did, h, h2, n``: each row's id, 128 bits of its text and its length."""
+    other = F.xxhash64(F.lit("copy"), "text")
+    return store.stored(
+        df.select("did", "h", other.alias("h2"), F.octet_length("text").cast("long").alias("n")), f"{folder}/texts"
+    )
+
+
+def _once(df: DataFrame, light: DataFrame, folder: str) -> DataFrame:
+    """``did, h, text`` with one row of those that repeat id and text.
+
+    Only rows that repeat meet in a shuffle, one text of each from a task.
+    """
+    names = ["did", "h", "h2", "n"]
+    # stored, so that the joins lay this side out themselves and can split a row with many repeats
+    again = store.stored(
+        light.groupBy(*names).count().where("count > 1").select("did", "h").distinct(), f"{folder}/again"
+    )
+    if again.isEmpty():
+        return df
+    alone = df.join(again, ["did", "h"], "left_anti")
+    one = df.join(again, ["did", "h"], "left_semi").groupBy("did", "h").agg(F.collect_set("text").alias("texts"))
+    return alone.select("did", "h", "text").union(one.select("did", "h", F.explode("texts").alias("text")))
+
+
+def _copies(light: DataFrame, folder: str) -> DataFrame:
     """``did, h, n`` of the texts of LENGTH bytes or more that equal a whole text of a smaller id, by 128 bits and length.
 
     An id that also has another text is left to the suffix array.
     """
-    other = F.xxhash64(F.lit("copy"), "text")
-    light = store.stored(
-        df.select("did", "h", other.alias("h2"), F.octet_length("text").cast("long").alias("n")), f"{folder}/texts"
-    )
     # stored, so that the join lays this side out itself and can split a text with many copies
     firsts = store.stored(
         light.where(F.col("n") >= LENGTH)
@@ -286,9 +310,13 @@ def _copies(df: DataFrame, folder: str) -> DataFrame:
 
 def removed_spans(df: DataFrame, folder: str) -> DataFrame:
     """``did, h, spans`` of the texts that lose bytes, from ``did, h, text``; spans may overlap."""
-    copies = _copies(df, folder)
-    places = _repeated(_leads(df.select("did", "text"))).join(copies, "did", "left_anti")
-    records = _records(df.select("did", "h", "text").join(places, "did").select("did", "h", "text", "places"))
+    light = _light(df, folder)
+    copies, df = _copies(light, folder), _once(df, light, folder)
+    # by id and text: many texts may share an id, null most of all
+    key = F.xxhash64("did", "h").alias("key")
+    copied = copies.select(key)
+    places = _repeated(_leads(df.select(key.alias("did"), "text"))).withColumnRenamed("did", "key").join(copied, "key", "left_anti")
+    records = _records(df.select("did", "h", "text", key).join(places, "key").select("did", "h", "text", "places"))
     by = (F.expr(f"substring(blob, back + 1, {LEAD})"), "did", "h", "at")
     found = store.stored(_found(records.repartitionByRange(*by).sortWithinPartitions(*by)), f"{folder}/found")
     strings = found.where("string is not null")
@@ -302,7 +330,7 @@ def removed_spans(df: DataFrame, folder: str) -> DataFrame:
     across = strings.join(earliest, "string").where(F.struct("did", "h", "start") > F.col("earliest"))
     spans = found.where("string is null").union(across.select(found.columns)).drop("string")
     whole = copies.select("did", "h", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
-    return spans.union(whole).groupBy("did", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return spans.union(whole).groupBy("did", "h").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -68,6 +68,36 @@ def test_suffix_dedup_of_nothing(spark, empty):
     assert [r.n_removed for r in suffix_dedup.remove_repeats(blank, "doc_id", "text").collect()] == [0, 0]
 
 
+def test_suffix_dedup_of_rows_that_repeat(spark, monkeypatch):
+    """Equal rows send their spans once, and texts under a null id are not put together."""
+    rng = random.Random(2)
+    passage = "".join(rng.choices("abcde ", k=300))
+    pairs = [(1, passage)] + [(2, "x" + passage + "y")] * 40
+    pairs += [(None, "".join(rng.choices("pqrs ", k=150)) + passage) for _ in range(30)]
+    hashed = hashes(spark, {t for _, t in pairs})
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    real, lists, places = suffix_dedup.removed_spans, [], []
+    gather = suffix_dedup._repeated
+
+    def spans(*args):
+        got = real(*args)
+        lists.extend(r[0] for r in got.select(F.size("spans")).collect())
+        return got
+
+    def repeated(leads):
+        got = gather(leads)
+        places.append(got.count())
+        return got
+
+    monkeypatch.setattr(suffix_dedup, "removed_spans", spans)
+    monkeypatch.setattr(suffix_dedup, "_repeated", repeated)
+    got = suffix_dedup.remove_repeats(df, "doc_id", "text").drop("kept").collect()
+    want = removal_of(pairs, hashed)
+    assert bag(map(tuple, got)) == bag((d, *want[store.NULL_ID if d is None else d, t]) for d, t in pairs)
+    assert max(lists) < 40
+    assert places == [32]  # a row for each text
+
+
 def near_of(pairs, size, percent):
     """Set size and least reachable key of each row; rows that share an id are nodes of their own by set."""
     sets = []
