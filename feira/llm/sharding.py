@@ -14,7 +14,7 @@ gives an empty result. Nothing here depends on row order, so any task can be run
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,7 +49,7 @@ def _split(sizes: DataFrame, current: DataFrame, shards: int) -> DataFrame:
         sizes.join(F.broadcast(current.select("vslot", "shard")), "vslot")
         .withColumn("filled", F.sum("bytes").over(filling))
         .join(F.broadcast(mean))  # one row
-        .withColumn("stays", (F.col("filled") <= F.col("mean")) | (F.col("bytes") == 0))
+        .withColumn("stays", (F.col("shard") < shards) & ((F.col("filled") <= F.col("mean")) | (F.col("bytes") == 0)))
     )
 
 
@@ -105,11 +105,29 @@ def _next(current: DataFrame) -> Column:
     return F.lit((version if version is not None else -1) + 1).alias("version")
 
 
+def _read_map(spark: SparkSession, maps: str, slots: int) -> DataFrame | None:
+    """All versions stored in a folder, ``None`` if there are none; a version that was never completed has no rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(maps)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+    paths = [f"{maps}/{n}" for n in names if n.isdigit()]
+    if not paths:
+        return None
+    versions = spark.read.schema("version int, vslot int, shard int").parquet(*paths)
+    counts = [r["count"] for r in versions.groupBy("version").count().collect()]  # a row for each version
+    if any(n != slots for n in counts):
+        raise ValueError(f"{maps} holds a map of other than {slots} slots")
+    return versions if counts else None
+
+
 def shard_records(
-    df: DataFrame, id_col: str, text_col: str, shards: int, slots: int = SLOTS
+    df: DataFrame, id_col: str, text_col: str, shards: int, slots: int = SLOTS, maps: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Records with their shard and place in it, and the versions of the map.
 
+    ``maps`` is a folder that keeps the versions: its last one is edited and the next one added, by
+    one caller at a time. A new folder starts from version 0; without one the map is scratch.
+
     The records have ``id, size, text_crc32, vslot, shard, place``; places of a
     shard run from 0 without gaps, slot after slot, by id in a slot.
     """
@@ -126,8 +144,13 @@ def shard_records(
         f"{folder}/records",
     )
     sizes = store.stored(slot_sizes(records, slots), f"{folder}/sizes")
-    first = store.stored(first_map(sizes, shards), f"{folder}/map/0")
-    second = store.stored(rebalance(sizes, first, shards), f"{folder}/map/1")
+    maps = (maps or f"{folder}/map").rstrip("/")
+    versions = _read_map(spark, maps, slots)
+    if versions is None:
+        versions = store.stored(first_map(sizes, shards), f"{maps}/0")
+    last = versions.agg(F.max("version")).first()[0]
+    current = versions.where(F.col("version") == last)
+    second = store.stored(rebalance(sizes, current, shards), f"{maps}/{last + 1}")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     starts = second.join(sizes, "vslot").select(
         "vslot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
@@ -138,4 +161,4 @@ def shard_records(
         .join(F.broadcast(starts), "vslot")  # at most SLOTS rows
         .select("id", "size", "text_crc32", "vslot", "shard", (F.col("start") + F.col("k") - 1).alias("place"))
     )
-    return placed, first.unionByName(second)
+    return placed, versions.unionByName(second)

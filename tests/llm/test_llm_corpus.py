@@ -272,6 +272,21 @@ def test_growing_moves_slots_only_to_the_new_shard(spark):
     assert len(loads) == 9 and max(r.b for r in loads) <= 1.1 * min(r.b for r in loads)
 
 
+def test_a_stored_map_is_edited(spark, docs, made, tmp_path):
+    maps = (tmp_path / "map").as_uri()
+    _, before = sharding.shard_records(docs, "doc_id", "text", 8, maps=maps)
+    old = {tuple(r) for r in before.collect()}
+    for shards, last in ((9, 2), (5, 3)):  # one more, then fewer: none stays on a shard that is gone
+        placed, versions = sharding.shard_records(docs, "doc_id", "text", shards, maps=maps)
+        rows = {tuple(r) for r in versions.collect()}
+        assert old < rows and {r[0] for r in rows - old} == {last} and len(rows - old) == sharding.SLOTS
+        assert {r[2] for r in rows - old} <= set(range(shards))
+        assert placed.count() == len(made)
+        old = rows
+    with pytest.raises(ValueError):
+        sharding.shard_records(docs, "doc_id", "text", 8, 100, maps)
+
+
 def archive_rows(made):
     return [(r[0], r[3], (r[1] or "") * (40 if k % 3 == 0 else 1) if r[1] is not None else None) for k, r in enumerate(made)]
 
