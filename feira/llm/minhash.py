@@ -5,11 +5,12 @@
 2. Signatures are cut into bands; representatives that share a band meet in a bucket.
 3. In a first round each representative is paired with the least leader of its buckets. The links found give components.
 4. Buckets that still hold several components are finished without pairing all their members.
-   In a small one, members outside its largest component meet members of other components. In a large one every member is verified
-   against the leader, and what distinguishes it from the leader (shingles only one of the two has) is kept.
-   Two members whose distinctions share nothing are at most as similar as each is to the leader, so they are linked through
-   it or not at all. Others must share so many distinctions that the first few of them, in one fixed
-   order, meet: members are joined on those prefixes. No link is lost and no group is squared.
+   In a small one, members outside its largest component meet members of other components. The large ones that touch
+   the same component, the one with most members anywhere, form a group with a centre, the shingles that most of its members have. What distinguishes a member from the centre
+   decides its links: members without a common distinction are linked through the one nearest to the centre or not at all.
+   Others must share so many distinctions that the first few of them, in one fixed
+   order, meet. Members that meet in a distinction of few are paired; those that share one with many form a smaller group with a
+   centre of its own, which is finished in the next round. No link is lost and no group is squared.
 5. A pair is judged by comparing signatures batch by batch; it is dropped as soon as the posterior
    chance that its similarity reaches the threshold falls below ``miss``. The
    survivors are verified on their full sets.
@@ -53,9 +54,10 @@ class Similarity:
         return self.bands * self.rows
 
 
-#: Buckets of up to this many members are finished by pairs, larger ones by distinctions; both lose no link.
+#: Buckets of up to this many members are finished by pairs, larger ones by a centre; both lose no link.
 SMALL = 32
-REFERENCES = 5
+FEW = 4  # times SMALL: distinctions of up to so many members are finished by pairs
+REFERENCES = 9  # members that a centre is taken from; any centre gives the same links
 BATCH = 500  # rows of pairs with their sets that a task holds at a time
 
 _WORD = text.byte_table(WORD)
@@ -238,22 +240,39 @@ def _first_pairs(live: DataFrame) -> DataFrame:
 
 
 def _mixed(live: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
-    """``bucket, node, leader, label, main, size`` of the buckets that hold several components; ``main`` is the largest."""
+    """``bucket, node, label, main, widest, size`` of the buckets that hold several components.
+
+    ``main`` is the component with most members in the bucket, ``widest`` that with most members anywhere.
+    """
     labelled = store.stored(
-        live.join(roots, "node", "left").select("bucket", "node", "leader", F.coalesce("root", "node").alias("label")),
+        live.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label")),
         f"{folder}/labelled",
     )
-    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    everywhere = store.stored(
+        roots.groupBy(F.col("root").alias("label")).agg(F.count(F.lit(1)).alias("wide")), f"{folder}/wide"
+    )
+    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).join(everywhere, "label", "left")
     mixed = store.stored(
         sizes.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("largest"), F.sum("n").alias("size"))
+        .agg(
+            F.count(F.lit(1)).alias("labels"),
+            F.max(F.struct("n", "label")).alias("largest"),
+            F.max(F.struct(F.coalesce("wide", F.lit(0)), "label")).alias("widest"),
+            F.sum("n").alias("size"),
+        )
         .where("labels > 1")
-        .select("bucket", F.col("largest.label").alias("main"), "size"),
+        .select("bucket", F.col("largest.label").alias("main"), F.col("widest.label").alias("widest"), "size"),
         f"{folder}/mixed",
     )
     return store.stored(labelled.join(mixed, "bucket"), f"{folder}/members")
 
 
+def _large(members: DataFrame, folder: str) -> DataFrame:
+    """``group, node, label``: the members of the large buckets that touch the same widest component."""
+    large = members.where(F.col("size") > SMALL).select(F.xxhash64("widest").alias("group"), "node", "label")
+    return store.stored(large.distinct(), f"{folder}/groups")
+
+
 def _small_pairs(members: DataFrame) -> DataFrame:
     """The pairs of different components in small buckets."""
     small = members.where(F.col("size") <= SMALL)
@@ -266,118 +285,240 @@ def _small_pairs(members: DataFrame) -> DataFrame:
     return met.select(F.least("few", "node").alias("a"), F.greatest("few", "node").alias("b")).distinct()
 
 
-def _judged_leaders(of_led: DataFrame) -> DataFrame:
-    """``leader, led, common, kept``: shingles that a leader lacks and references have, and its own that most of them kept."""
+def _centres(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """``group, seen, times, refs``: the shingles of a few members of each group and how many of these have each."""
+    picks = groups.groupBy("group").agg(
+        F.array(*(F.min_by("node", F.xxhash64(F.lit(k), "node")) for k in range(REFERENCES))).alias("picks")
+    )
+    rows = (
+        picks.select("group", F.explode(F.array_distinct("picks")).alias("node"))
+        .join(sets, "node")
+        .groupBy("group")
+        .agg(F.collect_list("shingles").alias("of"))  # at most REFERENCES
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, kept = [], []
+            seen, times, refs = [], [], []
             for k in range(batch.num_rows):
-                led = np.frombuffer(batch.column(1)[k].as_buffer(), np.uint64)
-                others = [np.frombuffer(o.as_buffer(), np.uint64) for o in batch.column(2)[k].values]
-                held, count = np.unique(np.concatenate(others), return_counts=True)
-                own = np.isin(held, led, assume_unique=True)
-                common.append(held[~own].tobytes())
-                kept.append(held[own & (2 * count >= len(others))].tobytes())
+                of = [np.frombuffer(o.as_buffer(), np.uint64) for o in batch.column(1)[k].values]
+                held, count = np.unique(np.concatenate(of), return_counts=True)
+                seen.append(held.tobytes())
+                times.append(count.astype(np.uint8).tobytes())
+                refs.append(len(of))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(common, pa.binary()), pa.array(kept, pa.binary())],
-                ["leader", "led", "common", "kept"],
+                [batch.column(0), pa.array(seen, pa.binary()), pa.array(times, pa.binary()), pa.array(refs, pa.int32())],
+                ["group", "seen", "times", "refs"],
             )
 
-    kind = of_led.schema["leader"].dataType.simpleString()
-    return of_led.mapInArrow(run, f"leader {kind}, led binary, common binary, kept binary")
+    return rows.mapInArrow(run, "group long, seen binary, times binary, refs int")
+
 
+def _distinctions(groups: DataFrame, sets: DataFrame, how: Similarity, folder: str) -> DataFrame:
+    """Per row of ``group, node, label``: its ``weight`` against the group's centre and ``first``, what first distinguishes it.
 
-def _distinctions(members: DataFrame, sets: DataFrame, how: Similarity, folder: str) -> DataFrame:
-    """For the members of large buckets: ``leader, node, label, linked`` and ``first``, what first distinguishes them.
+    The centre is the set of shingles that at least half of REFERENCES members have; a distinction is a
+    shingle that only one of member and centre has. Two members without a common
+    distinction are linked if and only if their weights add up to at most ``slack``; a common one
+    only makes them more alike. So all links without a common distinction run through the member of least weight.
 
-    With t the threshold, a linked pair differs in at most (1 - t) / t of the
-    shingles of either member. So the member with fewer distinctions needs
-    half as many in its prefix, plus one, and the other that many plus one. The order of
-    distinctions is the same for all members of a leader, and by REFERENCES other members it puts first what is rare
-    in the group, so that few prefixes meet.
+    With t the threshold, a linked pair differs in at most (1 - t) / t of the shingles of either member, so
+    that many distinctions and one more are enough for the first. Those that few references share come first, so
+    that few meet.
     """
-    of_leader = members.where((F.col("size") > SMALL) & (F.col("node") != F.col("leader"))).select(
-        "leader", "node", "label"
-    )
-    of_leader = store.stored(of_leader.distinct(), f"{folder}/of-leader")
-    picks = of_leader.groupBy("leader").agg(
-        F.array(*(F.min_by("node", F.xxhash64(F.lit(k), "node")) for k in range(REFERENCES))).alias("picks")
-    )
-    references = (
-        picks.select("leader", F.explode(F.array_distinct("picks")).alias("node"))
-        .join(sets, "node")
-        .groupBy("leader")
-        .agg(F.collect_list("shingles").alias("others"))  # at most REFERENCES
-    )
-    of_led = references.join(sets.withColumnsRenamed({"node": "leader", "shingles": "led"}), "leader").select(
-        "leader", "led", "others"
-    )
-    leaders = store.stored(_judged_leaders(of_led), f"{folder}/leaders")
+    centres = store.stored(_centres(groups, sets), f"{folder}/centres")
     rows = (
-        of_leader.join(sets.withColumnRenamed("shingles", "own"), "node")
-        .join(leaders, "leader")
-        .select("leader", "node", "label", "own", "led", "common", "kept")
+        groups.join(sets.withColumnRenamed("shingles", "own"), "node")
+        .join(centres, "group")
+        .select("group", "node", "label", "own", "seen", "times", "refs")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, counts, firsts, half, sizes = [], [], [], [], []
-            for k in range(batch.num_rows):
-                own, led = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (3, 4))
-                added = np.setdiff1d(own, led, assume_unique=True)
-                gone = np.setdiff1d(led, own, assume_unique=True)
-                linked.append(100 * (len(own) - len(added)) >= how.percent * (len(own) + len(gone)))
+            weights, slacks, counts, firsts = [], [], [], []
+            for k, refs in enumerate(batch.column(6).to_pylist()):
+                own, seen = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (3, 4))
+                times = np.frombuffer(batch.column(5)[k].as_buffer(), np.uint8)
+                held = 2 * times.astype(np.int64) >= refs
+                has = np.isin(seen, own, assume_unique=True)
+                rare = np.setdiff1d(own, seen, assume_unique=True)  # of no reference
+                added, gone = has & ~held, held & ~has
+                # how many references share it; among equals, additions are rarer than losses
+                shared = np.concatenate([np.zeros(len(rare), np.int64), 2 * times[added], 2 * (refs - times[gone].astype(np.int64)) + 1])
+                elements = np.concatenate([rare, seen[added], text.mix(seen[gone] ^ np.uint64(1))])
                 most = (100 - how.percent) * len(own) // how.percent
-                common, kept = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (5, 6))
-                # an addition that no reference has is rare, a loss less so; the others are common
-                rarity = np.concatenate([np.where(np.isin(added, common), 3, 0), np.where(np.isin(gone, kept), 1, 2)])
-                elements = np.concatenate([added, text.mix(gone ^ np.uint64(1))])
-                first = elements[np.lexsort((elements, rarity))][: most + 1]
-                counts.append(len(added) + len(gone))
+                first = elements[np.lexsort((elements, shared))][: most + 1]
+                n_gone = int(gone.sum())
+                weights.append(100 * n_gone + how.percent * (len(elements) - n_gone))
+                slacks.append((100 - how.percent) * int(held.sum()))
+                counts.append(len(elements))
                 firsts.append(first.view(np.int64))
-                half.append(most // 2 + 1)
-                sizes.append(len(own))
+            longs = [pa.array(x, pa.int64()) for x in (weights, slacks, counts)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in (0, 1, 2)),
-                    pa.array(linked, pa.bool_()),
-                    pa.array(counts, pa.int64()),
-                    pa.array(half, pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(firsts, pa.list_(pa.int64())),
-                ],
-                ["leader", "node", "label", "linked", "differs", "half", "n", "first"],
+                [*(batch.column(c) for c in (0, 1, 2)), *longs, pa.array(firsts, pa.list_(pa.int64()))],
+                ["group", "node", "label", "weight", "slack", "differs", "first"],
             )
 
     kind = rows.schema["node"].dataType.simpleString()
     return rows.mapInArrow(
         run,
-        f"leader {kind}, node {kind}, label {kind}, linked boolean, differs long, half long, n long, first array<long>",
+        f"group long, node {kind}, label {kind}, weight long, slack long, differs long, first array<long>",
     )
 
 
-def _prefix_pairs(found: DataFrame, how: Similarity) -> DataFrame:
-    """The pairs of different components whose prefixes of distinctions from one leader meet.
+def _nearest(found: DataFrame, folder: str) -> DataFrame:
+    """The members with their group's member of least weight: ``centre``, its ``least`` weight and whether they are surely linked with it."""
+    least = found.groupBy("group").agg(F.min(F.struct("weight", "node")).alias("least"))
+    least = store.stored(least.select("group", "least.*").toDF("group", "least", "centre"), f"{folder}/least")
+    return found.join(least, "group").withColumn("sure", F.col("weight") + F.col("least") <= F.col("slack"))
+
+
+def _centre_links(near: DataFrame) -> DataFrame:
+    """``a, b``: each group's member of least weight with all that it is sure to be linked with."""
+    sure = near.where(F.col("sure") & (F.col("node") != F.col("centre")))
+    return sure.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+
 
-    A pair can differ in (1 - t) / (1 + t) of its shingles; what follows the
-    place where two prefixes meet must be able to hold the rest of what they share.
+def _shared_elements(near: DataFrame, how: Similarity, folder: str) -> DataFrame:
+    """The distinctions in whose place members of several components may be linked; ``met`` is the number of members with them.
+
+    With s common distinctions, two members are linked if their weights add up to at most ``slack + (100 + percent) * s``.
+    So the first common one leaves enough of both only if the weight of each is at most the ``limit`` of the other. A prefix
+    ends where that can hold for no partner: one that is not sure of the centre weighs more than
+    ``slack - least``, any other ``least`` at least, and as much as the distinctions it shares. Then the
+    members of each distinction are held against the lightest and the farthest reaching ones that share it.
     """
+    weight, over = F.col("weight"), 100 + how.percent
+
+    def up(amount: Column, by: int) -> Column:
+        return F.ceil(amount / by)
+
+    apart = up(weight - F.col("least") + 1, over)
+    any_member = F.greatest(F.lit(1), up(weight + F.col("least") - F.col("slack"), over), up(weight - F.col("slack"), 100))
+    needed = F.when(F.col("sure"), apart).otherwise(F.least(apart, any_member))
+    prefix = F.slice("first", F.lit(1), F.greatest(F.lit(0), F.col("differs") - needed + 1).cast("int"))
+    limit = F.col("slack") + over * (F.col("differs") - F.col("place")) - weight
     # dealt out by node first: the members of one large bucket may lie in a few files
-    elements = found.repartition("node").select(
-        "leader", "node", "label", "differs", "half", "n", F.posexplode("first").alias("place", "element")
+    elements = (
+        near.select("group", "node", "label", "weight", "slack", "differs", "sure", prefix.alias("prefix"))
+        .repartition("node")
+        .select(
+            *("group", "node", "label", "weight", "slack", "differs", "sure"),
+            F.posexplode("prefix").alias("place", "element"),
+        )
+        .select("group", "element", "node", "label", "weight", "sure", limit.alias("limit"))
     )
-    fewer = elements.where(F.col("place") < F.col("half")).select(
-        "leader", "element", *(F.col(c).alias(f"fewer_{c}") for c in ("node", "label", "differs", "n", "place"))
+    elements = store.stored(elements, f"{folder}/elements")
+
+    def of(sure: bool, c: str) -> Column:
+        return F.when(F.col("sure") if sure else ~F.col("sure"), F.col(c))
+
+    bounds = (
+        elements.groupBy("group", "element")
+        .agg(
+            F.min("label").alias("one"),
+            F.max("label").alias("other"),
+            F.min(of(True, "weight")).alias("sure_weight"),
+            F.max(of(True, "limit")).alias("sure_limit"),
+            F.min(of(False, "weight")).alias("free_weight"),
+            F.max(of(False, "limit")).alias("free_limit"),
+        )
+        .where("one != other AND free_weight IS NOT NULL")
+        .drop("one", "other")
     )
-    left = F.least(F.col("differs") - F.col("place"), F.col("fewer_differs") - F.col("fewer_place"))
-    both = F.col("differs") + F.col("fewer_differs")
-    met = elements.join(fewer, ["leader", "element"]).where(
-        (F.col("label") != F.col("fewer_label"))
-        & (F.struct("fewer_differs", "fewer_node") < F.struct("differs", "node"))
-        & ((100 + how.percent) * (both - 2 * left) <= (100 - how.percent) * (F.col("n") + F.col("fewer_n")))
+    bounds = store.stored(bounds, f"{folder}/bounds")
+    useful = (
+        elements.join(bounds, ["group", "element"])
+        .where(
+            "(limit >= free_weight AND weight <= free_limit)"
+            " OR (NOT sure AND coalesce(limit >= sure_weight AND weight <= sure_limit, false))"
+        )
+        .select(*elements.columns)
+    )
+    useful = store.stored(useful, f"{folder}/useful")
+    shared = (
+        useful.groupBy("group", "element")
+        .agg(
+            F.count(F.lit(1)).alias("met"),
+            F.min("label").alias("one"),
+            F.max("label").alias("other"),
+            F.bool_and("sure").alias("all_sure"),
+        )
+        .where("one != other AND NOT all_sure")
+        .select("group", "element", "met")
+    )
+    shared = store.stored(shared, f"{folder}/shared")
+    return store.stored(useful.join(shared, ["group", "element"]), f"{folder}/met")
+
+
+def _prefix_pairs(met: DataFrame, how: Similarity) -> DataFrame:
+    """The pairs of different components that meet in a distinction of few members and may share enough of those after it."""
+    elements = met.where(F.col("met") <= FEW * SMALL)
+    lighter = elements.select(
+        "group", "element", *(F.col(c).alias(f"lighter_{c}") for c in ("node", "label", "weight", "limit", "sure"))
+    )
+    pairs = elements.join(lighter, ["group", "element"]).where(
+        (F.col("label") != F.col("lighter_label"))
+        & ~(F.col("sure") & F.col("lighter_sure"))
+        & (F.struct("lighter_weight", "lighter_node") < F.struct("weight", "node"))
+        & (F.col("weight") <= F.col("lighter_limit"))
+        & (F.col("lighter_weight") <= F.col("limit"))
+    )
+    return pairs.select(F.least("lighter_node", "node").alias("a"), F.greatest("lighter_node", "node").alias("b")).distinct()
+
+
+def _next_groups(met: DataFrame, folder: str) -> DataFrame:
+    """``group, node``: a group of its own for the members that share a distinction with many; equal groups once."""
+    hot = store.stored(
+        met.where(F.col("met") > FEW * SMALL).select(F.xxhash64("group", "element").alias("group"), "node"), f"{folder}/hot"
     )
-    return met.select(F.least("fewer_node", "node").alias("a"), F.greatest("fewer_node", "node").alias("b")).distinct()
+    alike = (
+        hot.groupBy("group")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.bit_xor(F.xxhash64("node")).alias("x"),
+            F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+        )
+        .groupBy("n", "x", "y")
+        .agg(F.min("group").alias("group"))
+    )
+    return hot.join(store.stored(alike.select("group"), f"{folder}/alike"), "group", "left_semi")
+
+
+def _labelled(groups: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
+    """``group, node, label`` of the groups that hold several components."""
+    labelled = store.stored(
+        groups.join(roots, "node", "left").select("group", "node", F.coalesce("root", "node").alias("label")),
+        f"{folder}/labelled",
+    )
+    mixed = labelled.groupBy("group").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed")
+    return store.stored(labelled.join(store.stored(mixed.select("group"), f"{folder}/mixed"), "group"), f"{folder}/groups")
+
+
+def _finished(
+    groups: DataFrame, links: DataFrame, sets: DataFrame, nodes: DataFrame, how: Similarity, folder: str
+) -> DataFrame:
+    """``links``, and those that join components inside the groups (``group, node, label``) into what they should be.
+
+    A group whose members share a distinction lies inside the one it comes from and is smaller, since what all
+    references have is in the centre; so the rounds end. A round makes a row for each distinction in a member's prefix.
+    """
+    step = 0
+    while True:
+        here = f"{folder}/round-{step}"
+        found = store.stored(_distinctions(groups, sets, how, here), f"{here}/found")
+        near = _nearest(found, here)
+        met = _shared_elements(near, how, here)
+        rest = store.stored(_pruned(_prefix_pairs(met, how), nodes, how), f"{here}/rest")
+        more = _centre_links(near).union(_verified(rest, sets, how))
+        links = links.union(store.stored(more, f"{here}/links"))
+        following = store.stored(_next_groups(met, here), f"{here}/next")
+        if following.isEmpty():
+            return links
+        groups = _labelled(following, components(links, f"{here}/components"), here)
+        if groups.isEmpty():
+            return links
+        step += 1
 
 
 def link(df: DataFrame, id_col: str, text_col: str, how: Similarity, hash_col: str | None = None) -> DataFrame:
@@ -415,13 +556,17 @@ def link(df: DataFrame, id_col: str, text_col: str, how: Similarity, hash_col: s
         first = store.stored(_pruned(_first_pairs(live), nodes, how), f"{folder}/first")
         links = store.stored(_verified(first, sets, how), f"{folder}/links-1")
         roots = components(links, f"{folder}/components-1")
-        members = _mixed(live, roots, folder)
-        found = store.stored(_distinctions(members, sets, how, folder), f"{folder}/distinctions")
-        led_links = found.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        rest = _small_pairs(members).union(_prefix_pairs(found, how)).distinct()
-        rest = store.stored(_pruned(rest, nodes, how), f"{folder}/rest")
-        more = store.stored(_verified(rest, sets, how), f"{folder}/links-2")
-    roots = components(links.union(led_links).union(more), f"{folder}/components-2")
+        # links through the centres first: they leave fewer components, and so fewer groups
+        groups = _large(_mixed(live, roots, f"{folder}/before"), f"{folder}/before")
+        found = store.stored(_distinctions(groups, sets, how, f"{folder}/before"), f"{folder}/before/found")
+        sure = store.stored(_centre_links(_nearest(found, f"{folder}/before")), f"{folder}/before/links")
+        links = links.union(sure)
+        members = _mixed(live, components(links, f"{folder}/components-2"), folder)
+        few = store.stored(_pruned(_small_pairs(members), nodes, how), f"{folder}/few")
+        links = links.union(store.stored(_verified(few, sets, how), f"{folder}/links-2"))
+        groups = _large(members, folder)
+        links = _finished(groups, links, sets, nodes, how, folder)
+    roots = components(links, f"{folder}/components-3")
     labels = store.stored(
         classes.select("h1", "h2", node.alias("node"))
         .join(roots, "node", "left")

@@ -152,20 +152,34 @@ def test_large_groups_lose_no_link(spark, monkeypatch, small):
     assert bag(map(tuple, got.collect())) == bag(want)
 
 
-def test_large_groups_are_not_squared(spark):
-    n = 700
-    df = spark.createDataFrame(near_copies(n, 8, 9), "key long, text string")
-    rows = df.select(F.col("key").alias("rid"), "key", "text", F.lit(0).cast("long").alias("hash"))
-    folder = store.scratch(spark, "squared")
-    node = F.struct(F.col("key").alias("id"), F.col("h1").alias("h")).alias("node")
-    nodes = store.stored(minhash._described(rows, queries.NEAR).select(node), f"{folder}/nodes")
-    least = nodes.agg(F.min("node")).first()[0]
-    leader = F.struct(F.lit(least.id).cast("long").alias("id"), F.lit(least.h).cast("long").alias("h"))
-    members = nodes.select("node", leader.alias("leader"), F.col("node").alias("label"), F.lit(n).alias("size"))
-    sets = store.stored(minhash._sets(df, nodes, queries.NEAR), f"{folder}/sets")
-    found = store.stored(minhash._distinctions(members, sets, queries.NEAR, folder), f"{folder}/found")
-    assert found.count() == n - 1
-    assert minhash._prefix_pairs(found, queries.NEAR).count() < n * n / 10
+@pytest.mark.parametrize("share", [0, 0.08])
+def test_work_in_large_groups_grows_with_their_members(spark, monkeypatch, share):
+    """Near copies of one text, also with a phrase that a part of them has: rows and pairs met are in proportion."""
+    made, real = Counter(), store.stored
+
+    def stored(df, path):
+        out = real(df, path)
+        name = path.split("/")[-1]
+        if name in ("groups", "elements"):
+            made[name] += out.count()
+        elif name == "met":
+            made["met"] += out.count()
+            meetings = out.where(F.col("met") <= minhash.FEW * minhash.SMALL).groupBy("group", "element").count()
+            made["meetings"] += meetings.agg(F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0))).first()[0]
+        return out
+
+    monkeypatch.setattr(store, "stored", stored)
+    seen = []
+    for n in (500, 1000, 2000):
+        rng = random.Random(n)
+        pairs = [(i, t + " shared words of some copies only, told once" * (rng.random() < share)) for i, t in near_copies(n, 8, 9)]
+        made.clear()
+        minhash.link(spark.createDataFrame(pairs, "doc_id long, text string"), "doc_id", "text", queries.NEAR).count()
+        seen.append(dict(made))
+    one, _, four = seen
+    assert four["elements"] <= 4**1.1 * one["elements"]
+    assert four["elements"] <= 30 * 2000 and four["groups"] <= 30 * 2000
+    assert four["meetings"] <= minhash.FEW * minhash.SMALL * four["met"] and four["met"] <= 10 * 2000
 
 
 def test_keep_one_keeps_one_row_of_each_group(docs, made, empty):
