@@ -8,8 +8,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from feira.session import tune  # noqa: E402
 
-TESTDATA = Path("/root/testdata")
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from conftest import TESTDATA
+from tables import TESTDATA
 
 Q = contract.report_queries()
 SCALES = ("sf0.001", "sf0.01", "sf0.1")

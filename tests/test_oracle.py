@@ -3,7 +3,7 @@ from oracle import connect, compare
 
 import __spark_entry__ as contract
 import oracle_queries
-from conftest import TESTDATA
+from tables import TESTDATA
 
 QUERIES = contract.report_queries()
 ORACLE = oracle_queries.oracle_sql()

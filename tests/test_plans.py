@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as contract
 import oracle_queries
-from conftest import TESTDATA
+from tables import TESTDATA
 from feira import session
 from feira.operators.tables import PERIOD_FOLDERS, refresh_table
 from feira.plans import purchases, signups
