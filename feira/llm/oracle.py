@@ -119,6 +119,102 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+# crc32 bit by bit: the reversed polynomial is a fixed value
+TRIE = r"""
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce("text", '') AS body FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, role, body, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || body)) AS k FROM t
+), lengths AS (
+  SELECT c, count(*) AS n, c - c % 20 AS base, xor(4294967295, list_reduce(
+    list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT)),
+    lambda crc, x: list_reduce(range(CAST(8 AS BIGINT)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)), xor(crc, x)),
+    CAST(4294967295 AS BIGINT))) % 4 AS h
+  FROM t GROUP BY c
+), plans AS (
+  SELECT a.c, a.h, a.base, least(a.h, coalesce(b.n, 0)) AS head, head + greatest(0, a.n - a.h) AS total
+  FROM lengths a LEFT JOIN lengths b ON b.c = a.base
+), rebuilt AS (
+  SELECT p.c, k AS d, role, body FROM plans p JOIN own ON own.c = base AND k <= h
+  UNION ALL
+  SELECT p.c, head + k - h, role, body FROM plans p JOIN own ON own.c = p.c AND k > h
+), paths AS (
+  SELECT c, d, body, list([role, body]) OVER (PARTITION BY c ORDER BY d) AS path FROM rebuilt
+  UNION ALL SELECT c, 0, '', [] FROM plans
+), nodes AS (
+  SELECT path, d AS depth, min(c) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * len(regexp_extract_all(any_value(body), '[^\x20\x09-\x0D]+')) AS saved
+  FROM paths GROUP BY path, d
+), kids AS (
+  SELECT path[:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), sums AS (
+  SELECT p.path, p.d AS depth, sum(x.saved) AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM nodes x LEFT JOIN kids ON kids.path = x.path AND kids.depth = x.depth
+  JOIN paths p ON p.c = x.conv_id AND p.d <= x.depth GROUP BY 1, 2
+), ends AS (
+  SELECT path, d AS depth, sha256(string_agg(c, ',' ORDER BY c)) AS ends_sha256
+  FROM paths JOIN plans USING (c) WHERE d = total GROUP BY 1, 2
+)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes x JOIN sums USING (path, depth) LEFT JOIN kids USING (path, depth) LEFT JOIN ends USING (path, depth)
+LEFT JOIN nodes up ON up.depth = x.depth - 1 AND up.path = x.path[:x.depth - 1]
+"""
+
+MIX = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce("text", ''), '{WORD}')) AS size,
+    substr(sha256('42' || coalesce(':' || doc_id, '')), 1, 16) AS shuffle, coalesce(doc_id, -9223372036854775808) AS key,
+    row_number() OVER (PARTITION BY doc_id, source, size) AS number
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank,
+    rank % 3 + 1 AS weight, 3 * source_size AS most
+  FROM d GROUP BY source
+), f AS (
+  SELECT *, CAST(sum(most) OVER a AS BIGINT) AS most_until, CAST(sum(weight) OVER () AS BIGINT) AS weights,
+    CAST(sum(weight) OVER () - sum(weight) OVER a AS BIGINT) AS weight_left, CAST(sum(source_size) OVER () AS BIGINT) AS budget
+  FROM s WINDOW a AS (ORDER BY most / weight, rank ROWS UNBOUNDED PRECEDING)
+), l AS (
+  SELECT greatest(max(budget / weights), max(CASE WHEN weight_left > 0 THEN (budget - most_until) / weight_left END)) AS level, max(budget) AS budget FROM f
+), q AS (
+  SELECT d.*, source_size, rank, least(weight * level, CAST(most AS DOUBLE)) AS target, budget,
+    CAST(sum(size) OVER (PARTITION BY rank ORDER BY shuffle, key, size, number ROWS UNBOUNDED PRECEDING) AS BIGINT) AS until
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, l
+), e AS (
+  SELECT *, (turn * source_size + until) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS turn) WHERE size > 0
+), o AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, rank, shuffle, key, size, number, turn ROWS UNBOUNDED PRECEDING) AS all_until FROM e
+), n AS (
+  SELECT rank, key, size, number, count(*) AS times FROM o WHERE all_until <= budget GROUP BY ALL
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * coalesce(times, 0) AS BIGINT) AS taken
+FROM q LEFT JOIN n USING (rank, key, size, number)
+"""
+
+FIM = r"""
+WITH d AS (
+  SELECT doc_id, coalesce("text", '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, body, regexp_extract_all(body, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS draws
+  FROM d
+), c AS (
+  SELECT *, len(units) AS n, least(draws[1] % (n + 1), draws[2] % (n + 1)) AS a, greatest(draws[1] % (n + 1), draws[2] % (n + 1)) AS b,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR draws[3] % 100 >= 50 THEN 'plain'
+         WHEN draws[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+    coalesce(array_to_string(units[b + 1:], ''), '') AS suffix
+  FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(body) AS restored_sha256
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -127,4 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": LINES,
         "op8_quality_rules": QUALITY,
         "op10_decontamination": CONTAMINATION,
+        "op11_conversation_trie": TRIE,
+        "op12_source_mix": MIX,
+        "op13_fill_in_middle": FIM,
     }

@@ -9,7 +9,23 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from feira.llm import bpe, classifier, decontaminate, line_dedup, minhash, oracle, quality, sharding, store, suffix_dedup, token_scan, warc
+from feira.llm import (
+    bpe,
+    classifier,
+    decontaminate,
+    fim,
+    line_dedup,
+    minhash,
+    mixing,
+    oracle,
+    quality,
+    sharding,
+    store,
+    suffix_dedup,
+    token_scan,
+    trie,
+    warc,
+)
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -110,6 +126,30 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.drop("matches")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.prefix_nodes(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return nodes.drop("ref_conv", "ref_turn")
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return mixed.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken")
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restore(fim.transform(_table(spark, sf_dir, "documents"), "doc_id", "text"), "output", "form")
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        *(F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -122,6 +162,9 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_sharding": op9_sharding,
         "op10_decontamination": op10_decontamination,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_source_mix": op12_source_mix,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 

@@ -351,7 +351,7 @@ def test_broken_archives_are_errors(tmp_path):
 def test_queries_match_their_sql(spark, name):
     path = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
     found = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in found.description]
@@ -361,7 +361,7 @@ def test_queries_match_their_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 14))
 
 
 def test_pipeline_stages_follow_each_other(spark, docs, made, items=None):
