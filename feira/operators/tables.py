@@ -25,7 +25,7 @@ def refresh_table(
     inside each file by that column, which gives its row groups narrow ranges; a
     stored table has no global order.
     """
-    writer = _replacing(_laid_out(df, partition_by, newest_first))
+    writer = _replacing(laid_out(df, partition_by, newest_first))
     writer.partitionBy(*partition_by).parquet(path)
     # the written order of columns differs: folder columns come last
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
@@ -35,7 +35,7 @@ def create_table(
     df: DataFrame, name: str, partition_by: Sequence[str] = (), newest_first: str | None = None
 ) -> DataFrame:
     """Drop catalog table ``name`` if it exists, create it from ``df`` and read it."""
-    writer = _replacing(_laid_out(df, partition_by, newest_first)).format("parquet")
+    writer = _replacing(laid_out(df, partition_by, newest_first)).format("parquet")
     writer.partitionBy(*partition_by).saveAsTable(name)
     return df.sparkSession.table(name).select(*df.columns)
 
@@ -45,7 +45,8 @@ def _replacing(df: DataFrame) -> DataFrameWriter:
     return df.write.mode("overwrite").option("partitionOverwriteMode", "static")
 
 
-def _laid_out(df: DataFrame, partition_by: Sequence[str], newest_first: str | None) -> DataFrame:
+def laid_out(df: DataFrame, partition_by: Sequence[str], newest_first: str | None) -> DataFrame:
+    """``df`` rebalanced by the folder columns and sorted inside files."""
     out = df.hint("rebalance", *partition_by) if partition_by else df
     if newest_first:
         out = out.sortWithinPartitions(*partition_by, F.desc(newest_first))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feira.config import Config
 from feira.functions.text import full_name, not_in, strip_hyphens
+from feira.operators.checks import join_checked
 from feira.operators.flags import flag_active_customers, flag_valid_orders, mark_test_sellers
 from feira.operators.latest import ADDRESS_COLUMNS, located_clients
 from feira.operators.period import with_period
@@ -56,7 +57,21 @@ CUSTOMER_COLUMNS = (
 def curate_purchases(pedidos: DataFrame, comercios: DataFrame, cfg: Config) -> DataFrame:
     """Orders with their seller, validity flag and calendar columns."""
     sellers = mark_test_sellers(comercios, cfg).withColumnRenamed("id", "seller_id")
-    orders = pedidos.join(sellers, pedidos["comercio_id"] == sellers["seller_id"], "left")
+    return _curated(pedidos.join(sellers, pedidos["comercio_id"] == sellers["seller_id"], "left"), cfg)
+
+
+def curate_purchases_checked(
+    pedidos: DataFrame, comercios: DataFrame, cfg: Config, seen: Observation
+) -> DataFrame:
+    """As :func:`curate_purchases`, where seller ids may repeat: an order is there once, with the seller's least name.
+
+    ``seen`` counts orders, those without their seller and those whose seller repeats; see :func:`join_checked`.
+    """
+    sellers = mark_test_sellers(comercios, cfg)
+    return _curated(join_checked(pedidos, sellers, "comercio_id", "id", seen), cfg)
+
+
+def _curated(orders: DataFrame, cfg: Config) -> DataFrame:
     flagged = with_period(flag_valid_orders(orders, cfg), "data_compra")
     return flagged.withColumns(
         {"compra_id": F.col("id"), "email": F.lower("email")}

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feira.config import Config
 from feira.functions.dates import days_since, month_label
 from feira.operators.aggregates import by_text, monthly, per_client, text_label, total
+from feira.operators.bitmaps import count_distinct_merged
+from feira.operators.breakdowns import SET, by_each, set_number
 from feira.operators.latest import last_purchase_per_name
 from feira.operators.period import in_quarters
+from feira.operators.windows import REPORT, in_windows
 
 
 def valid_purchases(purchases: DataFrame, cfg: Config) -> DataFrame:
@@ -130,3 +135,33 @@ def _seller_months(purchases: DataFrame, cfg: Config, *months: str) -> DataFrame
         .select(month_label(F.col("mes")).alias("mes_ano"), "seller", "venda_seller_mes")
         .orderBy("mes_ano", F.desc("venda_seller_mes"), "seller")
     )
+
+
+def purchases_rollup(purchases: DataFrame, cfg: Config) -> DataFrame:
+    """``recorte, chave, pedidos, valor``: orders and value by month, by seller and in all, in one pass."""
+    dims = ("mes", "nome_fantasia")
+    aggs = {"pedidos": F.count("compra_id"), "com_seller": F.count("nome_fantasia"), "valor": total("valor")}
+    got = by_each(valid_purchases(purchases, cfg), dims, aggs, whole=True)
+    by_month, by_seller = (F.col(SET) == set_number(dims, [d]) for d in dims)
+    return got.select(
+        F.when(by_month, "mes").when(by_seller, "seller").otherwise("total").alias("recorte"),
+        F.when(by_month, month_label(F.col("mes"))).when(by_seller, F.col("nome_fantasia")).alias("chave"),
+        # a seller's own report counts names
+        F.when(by_seller, F.col("com_seller")).otherwise(F.col("pedidos")).alias("pedidos"),
+        "valor",
+    )
+
+
+def window_totals(purchases: DataFrame, windows: DataFrame, reports: Sequence[str]) -> DataFrame:
+    """``relatorio, pedidos, gmv, compradores`` of valid orders in each report's window, in one plan."""
+    valid = in_windows(purchases.where(F.col("status_pedido") == 1), windows, reports)
+    return valid.groupBy(REPORT).agg(
+        F.count("compra_id").alias("pedidos"),
+        total("valor").alias("gmv"),
+        F.count_distinct("cliente_id").alias("compradores"),
+    )
+
+
+def buyers_by_window(bitmaps: DataFrame, windows: DataFrame, reports: Sequence[str]) -> DataFrame:
+    """``relatorio, clientes``: the buyers of each report's window, from stored bitmaps."""
+    return count_distinct_merged(in_windows(bitmaps, windows, reports), [REPORT], "clientes")

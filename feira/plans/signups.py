@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feira.config import Config
 from feira.functions.text import not_in
 from feira.operators.aggregates import count_by, monthly
+from feira.operators.breakdowns import count_by_each
 from feira.operators.period import in_quarters
 
 
@@ -82,3 +83,15 @@ def signups_by_estado(customers: DataFrame, cfg: Config) -> DataFrame:
 def _by_place(df: DataFrame, dim: str, cfg: Config) -> DataFrame:
     name = f"cadastros_{dim}"
     return count_by(df, dim, name, cfg.text_collation).orderBy(F.desc(name), dim)
+
+
+def signups_breakdowns(customers: DataFrame, cfg: Config) -> DataFrame:
+    """``dimensao, valor, clientes``: the five breakdowns in one pass, each as its own report gives it."""
+    text = ("cep", "bairro", "cidade", "estado")
+    counts = count_by_each(
+        active_signups(customers, cfg), ("purchase_type", *text), {d: cfg.text_collation for d in text}
+    )
+    left_out = ((F.col("dimensao") == "cidade") & F.col("valor").isNull()) | (
+        (F.col("dimensao") == "estado") & F.coalesce(F.col("valor") == cfg.invalid_state, F.lit(True))
+    )
+    return counts.where(~left_out).withColumnRenamed("n", "clientes")

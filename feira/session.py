@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 # Joins carry no broadcast hints: Catalyst compares the estimated size with
@@ -74,6 +76,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def session_folder(spark: SparkSession, name: str) -> str:
+    """A :func:`shared_folder` that goes when the driver ends, not before: results may be read from it until then."""
+    root = shared_folder(spark, name)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def drop() -> None:
+        try:
+            where = jvm.org.apache.hadoop.fs.Path(root)
+            where.getFileSystem(conf).delete(where, True)
+        except (Py4JError, OSError):
+            return  # the JVM has ended first
+
+    atexit.register(drop)
+    return root
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder that :func:`shared_folder` named, with the file system it is on."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,0 +1,220 @@
+"""Groupings and windows that share a pass, stored bitmaps, faults in sources, clustered tables."""
+
+import random
+import re
+from collections import Counter
+from dataclasses import replace
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
+import __spark_entry__ as contract
+from feira.operators.bitmaps import count_distinct_merged, distinct_bitmaps
+from feira.operators.breakdowns import by_each, set_number
+from feira.operators.checks import join_checked, key_faults
+from feira.operators.clustered import read_range, store_clustered
+from feira.operators.tables import PERIOD_FOLDERS, refresh_table
+from feira.operators.windows import in_windows, report_windows, store_windows
+from feira.plans import purchases, signups, warehouse
+from feira.plans.curated import curate_purchases_checked
+from feira.sources.snapshot import split_snapshot, to_report_snapshot
+from feira.sources.star import from_star
+from tables import TESTDATA, comercios, pedidos
+
+CFG, SF = contract.CFG, str(TESTDATA / "sf0.001")
+
+
+def bag(rows):
+    return Counter(map(str, rows))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def customers(spark, tmp_path_factory):
+    return warehouse.store_customers(from_star(spark, SF), str(tmp_path_factory.mktemp("customers")), CFG)
+
+
+@pytest.fixture(scope="module")
+def compras(spark, tmp_path_factory):
+    return warehouse.store_purchases(from_star(spark, SF), str(tmp_path_factory.mktemp("purchases")), CFG)
+
+
+OWN = {
+    "purchase_type": signups.signups_by_segment,
+    "cep": signups.signups_by_cep,
+    "bairro": signups.signups_by_bairro,
+    "cidade": signups.signups_by_cidade,
+    "estado": signups.signups_by_estado,
+}
+
+
+@pytest.mark.parametrize("collation", ["UTF8_BINARY", "UNICODE_CI_AI"])
+def test_breakdowns_equal_their_own_reports(spark, customers, collation):
+    cfg = replace(CFG, text_collation=collation)
+    mixed = customers.withColumn("cidade", F.when(F.col("cliente_id") % 2 == 0, F.lower("cidade")).otherwise(F.col("cidade")))
+    got = signups.signups_breakdowns(mixed, cfg).collect()
+    for dim, report in OWN.items():
+        mine = [(r.valor, r.clientes) for r in got if r.dimensao == dim]
+        assert bag(mine) == bag(tuple(r) for r in report(mixed, cfg).collect()), dim
+    assert {r.dimensao for r in got} == set(OWN)
+
+
+def test_breakdowns_scan_and_shuffle_once(customers):
+    text = plan(signups.signups_breakdowns(customers, CFG))
+    assert len(re.findall(r"FileScan", text)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
+    assert "Expand" in text and "SortAggregate" not in text
+
+
+def test_rollup_scans_once_and_agrees(compras):
+    got = purchases.purchases_rollup(compras, CFG)
+    assert len(re.findall(r"FileScan", plan(got))) == 1
+    rows = got.collect()
+    assert {(r.chave, r.valor) for r in rows if r.recorte == "mes"} == {tuple(r) for r in purchases.gmv_monthly(compras, CFG).collect()}
+    sellers = {(r.seller, r.qtd_vendas, r.valor_vendas) for r in purchases.seller_sales(compras, CFG).collect()}
+    assert {(r.chave, r.pedidos, r.valor) for r in rows if r.recorte == "seller"} == sellers
+    total = [r.pedidos for r in rows if r.recorte == "total"]
+    assert total == [purchases.orders_total(compras, CFG).first()[0]]
+
+
+def test_grouping_sets_keep_null_groups_apart(spark):
+    df = spark.createDataFrame([("a", None), (None, None), (None, "x")], "p string, q string")
+    got = by_each(df, ["p", "q"], {"n": F.count(F.lit(1))}, whole=True).collect()
+    first, second, whole = (set_number(["p", "q"], m) for m in (["p"], ["q"], []))
+    assert bag((r.conjunto, r.p, r.q, r.n) for r in got) == bag(
+        [(first, "a", None, 1), (first, None, None, 2), (second, None, None, 2), (second, None, "x", 1), (whole, None, None, 3)]
+    )
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bitmaps_count_exactly(spark, seed):
+    rng = random.Random(seed)
+    ids = [None, 0, -1, -40_000, 1, 32768, 32769, 2**40, -(2**40), *(rng.randrange(-70_000, 70_000) for _ in range(300))]
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice(ids)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "q int, id bigint").repartition(4)
+    bitmaps = distinct_bitmaps(df, "id", ["q"])
+    for quarters in ([1], [1, 2], [1, 2, 3]):
+        got = count_distinct_merged(bitmaps.where(F.col("q").isin(quarters)), [], "n").first()[0]
+        assert got == len({i for q, i in rows if q in quarters and i is not None})
+    each = {r.q: r.n for r in count_distinct_merged(bitmaps, ["q"], "n").collect()}
+    assert each == {q: len({i for x, i in rows if x == q and i is not None}) for q in {q for q, _ in rows}}
+
+
+def test_windows_are_counted_from_stored_bitmaps(spark, compras, tmp_path):
+    windows = store_windows(spark, report_windows(CFG), f"{tmp_path}/janelas")
+    bitmaps = warehouse.store_buyers(compras, str(tmp_path))
+    got = purchases.buyers_by_window(bitmaps, windows, contract.REPORTS)
+    files = "".join(got.inputFiles())
+    assert warehouse.BUYERS in files and warehouse.PURCHASES not in files  # no orders
+    assert {r.relatorio: r.clientes for r in got.collect()} == {
+        r.relatorio: r.compradores for r in purchases.window_totals(compras, windows, contract.REPORTS).collect()
+    }
+    one = purchases.buyers_by_window(bitmaps, windows, ["compras"]).collect()
+    assert [tuple(r) for r in one] == [("compras", purchases.buyers_total(compras, CFG).first()[0])]
+
+
+def test_windows_prune_quarters_while_the_plan_runs(spark, compras, tmp_path):
+    windows = store_windows(spark, report_windows(CFG) | {"nada": ()}, f"{tmp_path}/janelas")
+    got = purchases.window_totals(compras, windows, ["ultimo_trimestre", "compradores_funil"])
+    text = plan(got)
+    assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruning", text)
+    kept = in_windows(compras, windows, ["ultimo_trimestre"])
+    assert kept.select(*PERIOD_FOLDERS).distinct().collect() == [(2000, 4)]
+    assert in_windows(compras, windows, ["nada"]).count() == 0
+    read = in_windows(compras, windows, ["ultimo_trimestre", "compradores_funil"])
+    each = Counter(r.relatorio for r in read.select("relatorio", "compra_id").collect())
+    assert each["compradores_funil"] > each["ultimo_trimestre"] > 0
+
+
+def test_repeated_and_missing_sellers_are_counted_in_the_join(spark):
+    orders = pedidos(spark, *[(i, 1, "Ana", "1.00", s, None, datetime(2000, 1, 1)) for i, s in enumerate([1, 1, 2, 3, None, 9])])
+    sellers = comercios(spark, (1, "Um"), (1, "Outro"), (1, "Um"), (2, "Dois"), (3, "Tres"), (3, "Tres - Test"), (None, "sem"), (8, "Oito"))
+    seen = Observation()
+    got = curate_purchases_checked(orders, sellers, CFG, seen).collect()
+    assert {(r.compra_id, r.nome_fantasia, r.status_pedido) for r in got} == {
+        (0, "Outro", 1), (1, "Outro", 1), (2, "Dois", 1), (3, "Tres", 1), (4, None, 1), (5, None, 1),
+    }
+    assert len(got) == 6
+    assert seen.get == {"linhas": 6, "orfas": 1, "repetidas": 3, "mais_copias": 3}
+    faults = key_faults(orders, sellers, "comercio_id", "id", "pedidos", "comercios").collect()
+    assert bag(map(tuple, faults)) == bag([("comercios", "repetida", 1, 3), ("comercios", "repetida", 3, 2), ("pedidos", "orfa", 9, 1)])
+
+
+def test_key_checks_scan_each_table_once(spark):
+    m = from_star(spark, SF)
+    text = plan(key_faults(m.pedidos, m.comercios, "comercio_id", "id", "pedidos", "comercios"))
+    assert len(re.findall("FileScan", text)) <= 3  # orders, their lines, sellers
+    clean = key_faults(m.pedidos, m.comercios, "comercio_id", "id", "pedidos", "comercios")
+    assert clean.count() == 0
+
+
+def test_checked_join_of_nothing(spark):
+    seen = Observation()
+    facts = spark.createDataFrame([], "k long, v string")
+    dims = spark.createDataFrame([], "id long, name string")
+    assert join_checked(facts, dims, "k", "id", seen).columns == ["k", "v", "chave_unica", "name"]
+    assert key_faults(facts, dims, "k", "id", "f", "d").count() == 0
+
+
+def test_kept_and_rejected_rows_are_all_rows(spark, compras, tmp_path):
+    snapshot = contract._damaged(to_report_snapshot(compras))
+    seen = Observation()
+    kept, rejected = split_snapshot(snapshot, str(tmp_path / "s"), seen)
+    bad = compras.where("compra_id % 13 = 0 OR compra_id % 17 = 0 OR compra_id % 19 = 0")
+    assert (kept.count(), rejected.count()) == (compras.count() - bad.count(), bad.count())
+    assert seen.get == {"linhas": compras.count(), "aceitas": kept.count(), "rejeitadas": bad.count()}
+    assert rejected.columns == [*snapshot.columns, "motivo"]
+    want = compras.drop("time").join(bad.select("compra_id"), "compra_id", "left_anti").select(*kept.columns)
+    assert bag(kept.collect()) == bag(want.collect())
+    assert {r.motivo for r in rejected.collect()} >= {"valor", "data_compra", "quarter", "valor,data_compra"}
+
+
+def test_reasons_of_rejection(spark, tmp_path):
+    rows = [
+        ("1", "1.50", "05/01/2022", "1/2022"),
+        ("2", None, None, None),  # nothing there is nothing wrong
+        ("x", "1", "05/01/2022", "1/2022"),
+        ("4", "a", "31/02/2022", "0/2022"),
+        ("5", "1", "05/01/2022", "2/2022"),  # the day is in another quarter
+        ("6", "1", "05/01/2022", "2022"),
+        ("7", "1", "", "1/2022"),
+        (None, "1", "5/1/2022", "1/2022"),
+    ]
+    snapshot = spark.createDataFrame(rows, "compra_id string, valor string, data_compra string, quarter string")
+    seen = Observation()
+    kept, rejected = split_snapshot(snapshot, str(tmp_path / "s"), seen)
+    assert {r.compra_id for r in kept.collect()} == {1, 2, None}
+    assert {(r.compra_id, r.motivo) for r in rejected.collect()} == {
+        ("x", "compra_id"), ("4", "valor,data_compra,quarter"), ("5", "quarter"), ("6", "quarter"), ("7", "data_compra"),
+    }
+    none = Observation()
+    kept, rejected = split_snapshot(snapshot.where("false"), str(tmp_path / "t"), none)
+    assert (kept.count(), rejected.count()) == (0, 0)
+
+
+def test_reads_of_a_clustered_table_open_few_files(spark, tmp_path):
+    """A third of the orders are one client's: they lie in many files, and another client's in one or two."""
+    rng = random.Random(1)
+    rows = [(7 if k % 3 == 0 else rng.randrange(1000), k, date(2022, 1, 1)) for k in range(20_000)] + [(None, -1, None)]
+    df = spark.createDataFrame(rows, "cliente_id bigint, compra_id bigint, dia date").repartition(4)
+    path = str(tmp_path / "t")
+    store_clustered(df, path, "cliente_id", "compra_id", files=24)
+    every = spark.read.parquet(f"{path}/linhas").inputFiles()
+    assert len(every) >= 20
+    sizes = [r.linhas for r in spark.read.parquet(f"{path}/indice").collect()]
+    assert max(sizes) <= 3 * len(rows) / 24  # the hot client is split
+    for low, high, most in ((500, 500, 2), (100, 150, 3), (7, 7, 12), (5000, 6000, 0)):
+        got, files = read_range(spark, path, df.schema, "cliente_id", low, high)
+        assert len(files) <= most
+        want = [(c, k) for c, k, _ in rows if c is not None and low <= c <= high]
+        assert Counter((r.cliente_id, r.compra_id) for r in got.collect()) == Counter(want)
+    _, hot = read_range(spark, path, df.schema, "cliente_id", 7, 7)
+    assert len(hot) >= 6
+    refresh_table(df.where("false"), str(tmp_path / "none"))
+    store_clustered(df.where("false"), str(tmp_path / "none"), "cliente_id", "compra_id")
+    assert read_range(spark, str(tmp_path / "none"), df.schema, "cliente_id", 0, 9)[0].count() == 0
