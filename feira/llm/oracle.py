@@ -69,7 +69,7 @@ WITH w AS (
   SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
     length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines,
-    greatest(51, len(ws) // 5 + 1) AS long
+    greatest(51, len(ws) // 10 + 1) AS long
   FROM w
 ), grams AS (
   SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, array_to_string(ws[i:i + 7], ' ') AS gram FROM w
@@ -78,17 +78,25 @@ WITH w AS (
 ), covered AS (
   SELECT doc_id, sum(least(8, coalesce(after - i, 8))) AS n_repeat_words
   FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM starts) GROUP BY doc_id
+), passage_grams AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, array_to_string(ws[i:i + 19], ' ') AS gram FROM w
+), passage_starts AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM passage_grams) WHERE n > 1
+), passages AS (
+  SELECT doc_id, sum(least(20, coalesce(after - i, 20))) AS n_passage_words
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM passage_starts) GROUP BY doc_id
 ), longs AS (
   SELECT DISTINCT doc_id FROM (
     SELECT doc_id, unnest(range(1, len(ws) - long + 2)) AS i, array_to_string(ws[i:i + long - 1], ' ') AS run FROM w JOIN b USING (doc_id)
   ) GROUP BY doc_id, run HAVING count(*) > 1
 ), j AS (
   SELECT b.*, coalesce(n_repeat_words, 0) AS n_repeat_words, longs.doc_id IS NOT NULL AS long_repeat,
-    n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed
-  FROM b LEFT JOIN covered USING (doc_id) LEFT JOIN longs USING (doc_id)
+    n_words < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * n_words AS base_failed,
+    100 * coalesce(n_passage_words, 0) > 20 * n_words AS much_covered
+  FROM b LEFT JOIN covered USING (doc_id) LEFT JOIN passages USING (doc_id) LEFT JOIN longs USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT long_repeat AS kept
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT much_covered AND NOT long_repeat AS kept
 FROM j
 """
 

@@ -1,8 +1,12 @@
 """Quality rules: repetition inside a text, found with a suffix array over its words.
 
+The base rejects texts that are short or made of short phrases that come again. The suffix array judges what
+passes it by passages: the share of the words in maximal repeats, and the longest repeat. Its limits
+are lower than the base's share, since a passage that is repeated word for word is less likely to be chance.
+
 All texts of a slice share one suffix array: suffixes are ordered by text
 first, so neighbours of different texts have no common prefix. Only suffixes
-whose first ``min_words`` words occur twice in their text enter it, since no
+whose first ``min_words`` words (or ``repeat_window``, if fewer) occur twice in their text enter it, since no
 other one begins a repeat of that length. The array is built by prefix doubling, and
 the ranks of every step are kept to read off the longest common prefix of any two suffixes.
 A maximal repeated substring is a common prefix that cannot be extended to the left; the union
@@ -34,13 +38,15 @@ SYMBOL = "[#*$%&|<>]"
 class Rules:
     """Texts beyond any of these are rejected."""
 
+    # the base: too short, or made of phrases that come again
     least_words: int = 20
     repeat_window: int = 8  # words; a word in such a window found twice is a repeat word
     most_repeat_percent: int = 30
-    min_words: int = 8  # shortest repeat that the suffix array looks for
-    most_covered_percent: int = 30  # of the words, by maximal repeats
-    longest_words: int = 50  # a longer repeat is judged by its share
-    longest_percent: int = 20  # of the words, by one occurrence of the longest repeat
+    # the method: passages, that is sentences and more, that come again word for word
+    min_words: int = 20  # shortest repeat that counts as a passage
+    most_covered_percent: int = 20  # of the words, by maximal repeats of that length: a fifth of the text
+    longest_words: int = 50  # a longer repeat, a paragraph, is judged by its share
+    longest_percent: int = 10  # of the words, by one occurrence of the longest repeat
 
 
 MEASURES = [
@@ -149,12 +155,8 @@ class Repeats:
         starts = np.flatnonzero((self.lengths > 0) & ~extended)
         return starts, self.lengths[starts]
 
-    def inside(self, length: int | None = None) -> np.ndarray:
-        """The tokens in maximal repeats, or in the repeated windows of ``length``."""
-        starts, sizes = self.spans()
-        if length is not None:
-            starts = self.order
-            sizes = np.full(len(starts), length)
+    def inside(self, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        """The tokens in any of the spans."""
         edges = np.zeros(len(self.lengths) + 1, np.int64)
         np.add.at(edges, starts, 1)
         np.add.at(edges, starts + sizes, -1)
@@ -201,11 +203,13 @@ def measure(col: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
         "n_symbols": _per_text(_SYMBOL[data], offsets),
         "n_dup_lines": _duplicate_lines(data, offsets, starts, rolling),
     }
-    found = Repeats(tokens, at, rules.min_words)
-    windows = found if rules.min_words == rules.repeat_window else Repeats(tokens, at, rules.repeat_window)
-    out["n_repeat_words"] = _per_text(windows.inside(rules.repeat_window), at)
-    out["n_covered_words"] = _per_text(found.inside(), at)
+    found = Repeats(tokens, at, min(rules.min_words, rules.repeat_window))
+    windows = found if found.least == rules.repeat_window else Repeats(tokens, at, rules.repeat_window)
+    out["n_repeat_words"] = _per_text(windows.inside(windows.order, rules.repeat_window), at)
     span_starts, sizes = found.spans()
+    passages = sizes >= rules.min_words
+    span_starts, sizes = span_starts[passages], sizes[passages]
+    out["n_covered_words"] = _per_text(found.inside(span_starts, sizes), at)
     whose = np.searchsorted(at, span_starts, "right") - 1
     out["n_repeats"] = np.bincount(whose, minlength=n)
     out["longest_repeat"] = np.zeros(n, np.int64)
