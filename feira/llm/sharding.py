@@ -8,8 +8,8 @@ Moving a shard's share is an edit of a few thousand rows whatever the size of th
 
 A record's size is its UTF-8 bytes plus one; a null text has none. The slot
 comes from id and text, so null or repeated ids with different texts spread;
-rows that repeat both share a slot. Only id and text are read. An empty table
-gives an empty result. Nothing here depends on row order, so any task can be run again.
+rows that repeat both are counted, numbered and get a slot for each number, so they spread too. Only id and text are
+read. An empty table gives an empty result. Nothing here depends on row order, so any task can be run again.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feira.llm import store
+from feira.llm.running import running
 
 SLOTS = 4096
 
@@ -27,6 +28,24 @@ def slot_of(id_col: str | Column, text_col: str | Column, slots: int = SLOTS) ->
     return F.pmod(F.xxhash64(id_col, text_col), F.lit(slots)).cast("int")
 
 
+def _records(df: DataFrame, id_col: str, text_col: str, slots: int) -> DataFrame:
+    """``id, size, text_crc32, hash, number, vslot`` per row; of rows that repeat id and text only a count is shuffled."""
+    body = F.col(text_col).cast("string")
+    alike = (
+        df.select(
+            F.col(id_col).alias("id"),
+            (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
+            F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
+            F.xxhash64(F.col(id_col), body).alias("hash"),
+        )
+        .groupBy("id", "size", "text_crc32", "hash")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    numbered = alike.withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    spread = F.when(F.col("number") == 1, F.col("hash")).otherwise(F.xxhash64("hash", "number"))
+    return numbered.withColumn("vslot", F.pmod(spread, F.lit(slots)).cast("int"))
+
+
 def slot_sizes(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     """``vslot, bytes, n`` for every slot, empty ones included, from ``vslot, size``."""
     used = records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
@@ -129,20 +148,11 @@ def shard_records(
     one caller at a time. A new folder starts from version 0; without one the map is scratch.
 
     The records have ``id, size, text_crc32, vslot, shard, place``; places of a
-    shard run from 0 without gaps, slot after slot, by id in a slot.
+    shard run from 0 without gaps, slot after slot, by id as text in a slot.
     """
     spark = df.sparkSession
     folder = store.scratch(spark, "shards")
-    body = F.col(text_col).cast("string")
-    records = store.stored(
-        df.select(
-            F.col(id_col).alias("id"),
-            (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("size"),
-            F.crc32(F.coalesce(body, F.lit("")).cast("binary")).alias("text_crc32"),
-            slot_of(F.col(id_col), body, slots).alias("vslot"),
-        ),
-        f"{folder}/records",
-    )
+    records = store.stored(_records(df, id_col, text_col, slots), f"{folder}/records")
     sizes = store.stored(slot_sizes(records, slots), f"{folder}/sizes")
     maps = (maps or f"{folder}/map").rstrip("/")
     versions = _read_map(spark, maps, slots)
@@ -155,10 +165,12 @@ def shard_records(
     starts = second.join(sizes, "vslot").select(
         "vslot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
     )
-    inside = Window.partitionBy("vslot").orderBy("id", "text_crc32", "size")
-    placed = (
-        records.withColumn("k", F.row_number().over(inside))
-        .join(F.broadcast(starts), "vslot")  # at most SLOTS rows
-        .select("id", "size", "text_crc32", "vslot", "shard", (F.col("start") + F.col("k") - 1).alias("place"))
+    keyed = records.select(
+        "*", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), F.lit(1).cast("long").alias("one")
+    )
+    # in ranges of slot and key: neither a slot nor the number of slots bounds the tasks
+    numbered = running(keyed, ["vslot"], ["key", "text_crc32", "size", "hash", "number"], ["one"], f"{folder}/places")
+    placed = numbered.join(F.broadcast(starts), "vslot").select(  # at most SLOTS rows
+        "id", "size", "text_crc32", "vslot", "shard", (F.col("start") + F.col("one_until") - 1).alias("place")
     )
     return placed, versions.unionByName(second)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -263,6 +264,48 @@ def test_shards(spark, docs, made, empty):
     assert placed.count() == 0
 
 
+def balanced(sizes, shards):
+    """The map after one rebalancing: what a shard holds beyond the mean, largest slots first, goes to the emptiest shards."""
+    mean, moving, load, at = sum(sizes) / shards, [], [0] * shards, {}
+    for k in range(shards):
+        filled = 0
+        for v in sorted((v for v in range(len(sizes)) if v % shards == k), key=lambda v: (-sizes[v], v)):
+            filled += sizes[v]
+            if filled <= mean or not sizes[v]:
+                at[v] = k
+                load[k] += sizes[v]
+            else:
+                moving.append((sizes[v], v))
+    for size, v in sorted(moving, reverse=True):
+        at[v] = load.index(min(load))
+        load[at[v]] += size
+    return at
+
+
+def test_rows_that_repeat_keep_the_law(spark):
+    """Half of all rows repeat one id and text, in one partition: shards stay near equal, places gapless, reruns alike."""
+    rng = random.Random(3)
+    rows = [(7, "the same text " * 6)] * 3000 + [(k, "w" * rng.randrange(200)) for k in range(3000)] + [(None, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    placed, versions = sharding.shard_records(df, "doc_id", "text", 8)
+    got = placed.collect()
+    want = bag((d, len(t or "") + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert bag((r.id, r.size, r.text_crc32) for r in got) == want
+    sizes, places, slots = Counter(), defaultdict(list), Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.vslot] += r.size
+        places[r.shard].append(r.place)
+    assert len(sizes) == 8 and max(sizes.values()) <= 1.01 * min(sizes.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert len({r.vslot for r in got if r.id == 7}) > 1500  # the hot rows share no slot
+    at = balanced([slots[v] for v in range(sharding.SLOTS)], 8)
+    assert {r.vslot: r.shard for r in versions.where("version = 1").collect()} == at
+    assert all(at[r.vslot] == r.shard for r in got)
+    again, _ = sharding.shard_records(df.repartition(9), "doc_id", "text", 8)
+    assert bag(map(tuple, again.collect())) == bag(map(tuple, got))
+
+
 def test_shards_are_near_equal_and_edits_are_small(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     placed, versions = sharding.shard_records(docs, "doc_id", "text", 8)
@@ -347,6 +390,59 @@ def test_broken_archives_are_errors(tmp_path):
             read(bad)
 
 
+def foreign(fields, block, version="WARC/1.0", end="\r\n\r\n"):
+    """A record as other writers make it."""
+    import gzip
+
+    lines = "".join(f"{line}\r\n" for line in [version, *fields, f"Content-Length:{len(block)}"])
+    return gzip.compress(lines.encode() + b"\r\n" + block + end.encode())
+
+
+def test_archives_of_other_writers_are_read(spark, tmp_path):
+    import base64
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    body = "né".encode() * 50
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    answer = ["WARC-Type:response", "WARC-Record-ID: <urn:uuid:5>", "Content-Type: application/http; msgtype=response"]
+    records = [
+        foreign(["WARC-Type: warcinfo", "WARC-Record-ID:<urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        foreign(["WARC-Type: request", "WARC-Record-ID: <urn:uuid:2>", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n"),
+        foreign(["warc-type: metadata", "WARC-RECORD-ID:  <urn:uuid:3>  ", "WARC-Refers-To: <urn:uuid:5>"], b"seed: \r\n"),
+        foreign(answer, http + body),  # without any digest
+        foreign([*answer, f"WARC-Payload-Digest: sha1:{sha}", "WARC-Target-URI: http://a/", "\tb"], http + body, "WARC/1.1"),
+        foreign([*answer, f"WARC-Block-Digest: sha256:{hashlib.sha256(http + body).hexdigest()}", "WARC-Payload-Digest: blub:AAAA"], http + body),
+        foreign(["WARC-Type: resource", f"WARC-Payload-Digest: SHA-1:{hashlib.sha1(body).hexdigest()}"], body),
+        foreign(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:8>", f"WARC-Payload-Digest: sha1:{sha}", "Content-Type: application/http"], b"HTTP/1.1 200 OK\r\ncontent-length: 150\r\n\r\n"),
+        foreign(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:9>"], b""),
+    ]
+
+    def archive(data):
+        f = files.Output(tmp_path.as_uri(), ".gz")
+        f.write(data)
+        f.close()
+        return spark.createDataFrame([(f.uri,)], "uri string")
+
+    got = warc.read_records(archive(b"".join(records))).collect()
+    hexed = hashlib.sha1(body).hexdigest()
+    assert [(r.record_type, r.record_id) for r in got[:4]] == [
+        ("warcinfo", "<urn:uuid:1>"), ("request", "<urn:uuid:2>"), ("metadata", "<urn:uuid:3>"), ("response", "<urn:uuid:5>"),
+    ]
+    assert [bytes(r.payload) for r in got[3:7]] == [body] * 4 and {r.payload_digest for r in got[3:7]} == {hexed}
+    assert got[2].refers_to == "<urn:uuid:5>" and got[4].target_uri == "http://a/ b"
+    assert [(r.payload_bytes, r.payload_digest, r.payload) for r in got[7:]] == [(150, hexed, None), (None, None, None)]
+    pages = warc.read_archives(archive(b"".join(records))).collect()
+    assert [(r.page_id, r.record_type) for r in pages] == [(None, "response")] * 3 + [(None, "revisit")] * 2
+    for wrong in (
+        foreign([*answer, "WARC-Payload-Digest: sha1:" + "A" * 32], http + body),
+        foreign([*answer, f"WARC-Block-Digest: md5:{'0' * 32}"], http + body),
+        foreign(["WARC-Type: response", "no field here"], b"x"),
+        foreign(answer, http + body, end="\r\n"),
+    ):
+        with pytest.raises(Exception):
+            warc.read_records(archive(wrong)).collect()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     path = "/root/testdata/sf0.001"
