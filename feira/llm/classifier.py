@@ -129,10 +129,13 @@ def _shares(df: DataFrame) -> DataFrame:
 class Ftrl:
     """Follow-the-regularised-leader, proximal form, one weight per feature and a bias."""
 
-    def __init__(self, training: Training):
+    def __init__(self, training: Training, state: bytes | None = None):
         self.p = training
-        self.z = np.zeros(FEATURES + 1)
-        self.n = np.zeros(FEATURES + 1)
+        held = np.zeros((2, FEATURES + 1)) if state is None else np.frombuffer(state, "<f8").reshape(2, -1).copy()
+        self.z, self.n = held
+
+    def state(self) -> bytes:
+        return np.stack([self.z, self.n]).astype("<f8").tobytes()
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -173,19 +176,26 @@ def train(
     folder = store.scratch(spark, "classifier")
     shares = store.stored(_shares(learnt.select("hash", "label", "text")), f"{folder}/shares")
 
+    state = Ftrl(training).state()
+    for epoch in range(1, training.epochs + 1):
+        state = _learnt(shares, training, epoch, state)
+    return Ftrl(training, state).weights(slice(None)).astype("<f8")
+
+
+def _learnt(shares: DataFrame, training: Training, epoch: int, state: bytes) -> bytes:
+    """The model after one more epoch: one task reads the sample once, sorted by a hash of epoch and row, and holds a batch of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl(training)
+        model = Ftrl(training, state)
         for batch in batches:
             for row in zip(*(batch.column(k) for k in (1, 2, 3))):
                 label, features, share = row
                 model.learn(features.values.to_numpy(), share.values.to_numpy().astype(float), label.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).astype("<f8").tobytes()], pa.binary())], ["w"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.state()], pa.binary())], ["state"])
 
-    passes = shares.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(training.epochs)))).select(
-        F.xxhash64("epoch", "hash").alias("place"), "label", "features", "shares", "epoch"
-    )
-    one = passes.coalesce(1).sortWithinPartitions("epoch", "place", "label").drop("epoch")
-    return np.frombuffer(one.mapInArrow(run, "w binary").first()[0], "<f8")  # FEATURES + 1 numbers
+    place = F.xxhash64(F.lit(epoch), "hash").alias("place")
+    one = shares.select(place, "label", "features", "shares").coalesce(1).sortWithinPartitions("place", "label")
+    return one.mapInArrow(run, "state binary").first()[0]  # two numbers for each feature
 
 
 def score(df: DataFrame, id_col: str, text_col: str, weights: np.ndarray, training: Training = Training()) -> DataFrame:
