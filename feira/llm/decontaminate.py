@@ -34,6 +34,8 @@ from feira.llm.sorting import multikey_order
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
+KEPT_BLOCKS = 4  # that a task keeps ready; of a benchmark with more, each is made once for a larger slice of documents
+LARGE_SLICE = 16 << 20
 
 _WORD = text.byte_table(WORD)
 _WORD[65:91] = True  # A-Z become a-z
@@ -173,7 +175,7 @@ def _write(parts: list[pa.RecordBatch], size: int, folder: str) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array([f.uri]), pa.array([size], pa.int64())], ["uri", "bytes"])
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=KEPT_BLOCKS)
 def _block(uris: tuple[str, ...], window: int) -> Block:
     words: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
@@ -186,6 +188,11 @@ def _block(uris: tuple[str, ...], window: int) -> Block:
     return Block(np.concatenate(words), np.append(0, np.cumsum(np.concatenate(sizes))), ids, window)
 
 
+def _shards(batch: pa.RecordBatch, column: int, blocks: list[tuple[str, ...]]) -> Iterator[pa.RecordBatch]:
+    """Whole texts that share a suffix array: more of them where the benchmark has more blocks than are kept."""
+    return text.slices(batch, column, text.SLICE_BYTES if len(blocks) <= KEPT_BLOCKS else LARGE_SLICE)
+
+
 def _judge(col: pa.Array, blocks: list[tuple[str, ...]], window: int) -> tuple[dict[str, np.ndarray], list[list[bytes]], list[tuple]]:
     """Words, hit words and items by text, and the matches, over all blocks."""
     words, at = tokens(col)
@@ -225,7 +232,7 @@ def annotate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text.slices(batch, 1):
+            for part in _shards(batch, 1, blocks):
                 judged, items, found = _judge(part.column(1), blocks, window)
                 per: list[list[dict]] = [[] for _ in items]
                 for d, i, p, o, n in found:
@@ -261,7 +268,7 @@ def remove_contaminated(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text.slices(batch, at):
+            for part in _shards(batch, at, blocks):
                 judged, _, _ = _judge(part.column(at), blocks, window)
                 yield part.filter(pa.array(~judged["contaminated"]))
 

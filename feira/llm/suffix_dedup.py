@@ -261,8 +261,8 @@ def _found(records: DataFrame) -> DataFrame:
 
 
 def _light(df: DataFrame, folder: str) -> DataFrame:
-    """``did, h, h2, n``: each row's id, 128 bits of its text and its length."""
-    other = F.xxhash64(F.lit("copy"), "text")
+    """``did, h, h2, n``: each row's id, a hash and the SHA-256 digest of its text, and its length."""
+    other = F.sha2(F.col("text").cast("binary"), 256)
     return store.stored(
         df.select("did", "h", other.alias("h2"), F.octet_length("text").cast("long").alias("n")), f"{folder}/texts"
     )
@@ -286,7 +286,7 @@ def _once(df: DataFrame, light: DataFrame, folder: str) -> DataFrame:
 
 
 def _copies(light: DataFrame, folder: str) -> DataFrame:
-    """``did, h, n`` of the texts of LENGTH bytes or more that equal a whole text of a smaller id, by 128 bits and length.
+    """``did, h, n`` of the texts of LENGTH bytes or more that equal a whole text of a smaller id, by digest and length.
 
     An id that also has another text is left to the suffix array.
     """

@@ -35,11 +35,16 @@ def write_token_files(
     """Encode texts into token files under ``folder``, ids of ``width`` bytes, each text closed by ``end_token``.
 
     Returns the files (``uri, bytes``) and where documents went (``uri, number, id``).
-    A null text is a document without tokens. The string of a special token in a text is ordinary text.
+    A null text is a document without tokens. The string of a special token in a text is ordinary text. Null ids, repeated
+    rows and repeated ids are documents like any other; only the two columns are read. An empty table has no files. An id
+    that does not fit the width is an error before anything is written.
     """
     spark = df.sparkSession
     store.ship(spark)
-    spec = spark.sparkContext.broadcast(bpe.read_spec(path))
+    vocabulary = bpe.read_spec(path)
+    if max(bpe.tokenizer(vocabulary).pieces) >= 1 << (8 * width):
+        raise ValueError(f"ids of {path} do not fit in {width} bytes")
+    spec = spark.sparkContext.broadcast(vocabulary)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_kind = source.schema["id"].dataType.simpleString()
 
