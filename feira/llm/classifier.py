@@ -195,7 +195,7 @@ def _learnt(shares: DataFrame, training: Training, epoch: int, state: bytes) ->
 
     place = F.xxhash64(F.lit(epoch), "hash").alias("place")
     one = shares.select(place, "label", "features", "shares").coalesce(1).sortWithinPartitions("place", "label")
-    return one.mapInArrow(run, "state binary").first()[0]  # two numbers for each feature
+    return one.mapInArrow(run, "state binary").collect()[0][0]  # a row, two numbers for each feature
 
 
 def score(df: DataFrame, id_col: str, text_col: str, weights: np.ndarray, training: Training = Training()) -> DataFrame:

@@ -18,7 +18,8 @@
 
 A null text is empty; texts without words have an empty set and are linked with nothing. Null ids
 count as the smallest id. Rows that share an id are nodes of their own if their sets differ. Only
-the id and text columns are read. Ties in similarity at the threshold are links.
+the id and text columns are read. Ties in similarity at the threshold are links. A long text is one set, held by one task
+at a time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feira.llm import store, text
+from feira.llm import files, store, text
 from feira.llm.components import components
 
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -533,14 +534,15 @@ def link(df: DataFrame, id_col: str, text_col: str, how: Similarity, hash_col: s
         (F.col(hash_col) if hash_col else F.lit(0)).cast("long").alias("hash"),
     )
     described = store.stored(_described(rows, how), f"{folder}/described")
+    work = f"{folder}/work"
     classes = store.stored(
-        described.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("key")), f"{folder}/classes"
+        described.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("key")), f"{work}/classes"
     )
     node: Column = F.struct(F.col("key").alias("id"), F.col("h1").alias("h"))
     # joined on the key too: only the rows of the representative match, so a class with many copies is no hot key
     nodes = store.stored(
         described.join(classes, ["h1", "h2", "key"], "left_semi").select(node.alias("node"), "sig").dropDuplicates(["node"]),
-        f"{folder}/nodes",
+        f"{work}/nodes",
     )
     bands = _bands(nodes, how)
     led = store.stored(
@@ -548,31 +550,32 @@ def link(df: DataFrame, id_col: str, text_col: str, how: Similarity, hash_col: s
         .agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .drop("n"),
-        f"{folder}/led",
+        f"{work}/led",
     )
-    live = store.stored(bands.join(led, "bucket"), f"{folder}/live")
-    sets = store.stored(_sets(rows, live.select("node"), how), f"{folder}/sets")
+    live = store.stored(bands.join(led, "bucket"), f"{work}/live")
+    sets = store.stored(_sets(rows, live.select("node"), how), f"{work}/sets")
     with store.small_batches(spark, BATCH):
-        first = store.stored(_pruned(_first_pairs(live), nodes, how), f"{folder}/first")
-        links = store.stored(_verified(first, sets, how), f"{folder}/links-1")
-        roots = components(links, f"{folder}/components-1")
+        first = store.stored(_pruned(_first_pairs(live), nodes, how), f"{work}/first")
+        links = store.stored(_verified(first, sets, how), f"{work}/links-1")
+        roots = components(links, f"{work}/components-1")
         # links through the centres first: they leave fewer components, and so fewer groups
-        groups = _large(_mixed(live, roots, f"{folder}/before"), f"{folder}/before")
-        found = store.stored(_distinctions(groups, sets, how, f"{folder}/before"), f"{folder}/before/found")
-        sure = store.stored(_centre_links(_nearest(found, f"{folder}/before")), f"{folder}/before/links")
+        groups = _large(_mixed(live, roots, f"{work}/before"), f"{work}/before")
+        found = store.stored(_distinctions(groups, sets, how, f"{work}/before"), f"{work}/before/found")
+        sure = store.stored(_centre_links(_nearest(found, f"{work}/before")), f"{work}/before/links")
         links = links.union(sure)
-        members = _mixed(live, components(links, f"{folder}/components-2"), folder)
-        few = store.stored(_pruned(_small_pairs(members), nodes, how), f"{folder}/few")
-        links = links.union(store.stored(_verified(few, sets, how), f"{folder}/links-2"))
-        groups = _large(members, folder)
-        links = _finished(groups, links, sets, nodes, how, folder)
-    roots = components(links, f"{folder}/components-3")
+        members = _mixed(live, components(links, f"{work}/components-2"), work)
+        few = store.stored(_pruned(_small_pairs(members), nodes, how), f"{work}/few")
+        links = links.union(store.stored(_verified(few, sets, how), f"{work}/links-2"))
+        groups = _large(members, work)
+        links = _finished(groups, links, sets, nodes, how, work)
+    roots = components(links, f"{work}/components-3")
     labels = store.stored(
         classes.select("h1", "h2", node.alias("node"))
         .join(roots, "node", "left")
         .select("h1", "h2", F.coalesce(F.col("root.id"), F.col("node.id")).alias("root")),
         f"{folder}/labels",
     )
+    files.drop(work)  # the result is read from the two tables that stay
     return (
         described.select("rid", "key", "hash", "n", "h1", "h2")
         .join(labels, ["h1", "h2"], "left")

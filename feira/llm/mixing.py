@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feira.llm import store
+from feira.llm import files, store
 from feira.llm.running import running
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,6 +80,7 @@ ORDER = ["finish", "rank", "shuffle", "key", "size", "number", "round"]
 
 def queue(df: DataFrame, id_col: str, text_col: str, source_col: str, how: Mix, folder: str) -> tuple[DataFrame, DataFrame]:
     """The rows of ``df`` with their place in the queue of their source, and every entry that may be taken, with its ``finish``."""
+    work = f"{folder}/work"
     units = store.stored(
         df.select(
             F.col(id_col).alias("id"),
@@ -88,9 +89,9 @@ def queue(df: DataFrame, id_col: str, text_col: str, source_col: str, how: Mix,
         )
         .groupBy("id", "source", "size")
         .agg(F.count(F.lit(1)).alias("copies")),
-        f"{folder}/units",
+        f"{work}/units",
     )
-    sources = store.stored(targets(units, how, folder), f"{folder}/sources")
+    sources = store.stored(targets(units, how, work), f"{work}/sources")
     same = units["source"].eqNullSafe(sources["source"])
     units = units.join(sources, same).select(units["*"], "rank", "source_size", "target")
     shuffled = units.select(
@@ -99,7 +100,7 @@ def queue(df: DataFrame, id_col: str, text_col: str, source_col: str, how: Mix,
         F.coalesce(F.col("id").cast("long"), F.lit(store.NULL_ID)).alias("key"),
         (F.col("size") * F.col("copies")).alias("words"),
     )
-    placed = running(shuffled, ["rank"], ["shuffle", "key", "size"], ["words"], f"{folder}/places")
+    placed = running(shuffled, ["rank"], ["shuffle", "key", "size"], ["words"], f"{work}/places")
     rows = placed.select(
         "id", "source", "size", "source_size", "target", "rank", "shuffle", "key",
         (F.col("words_until") - F.col("words")).alias("start"),
@@ -128,7 +129,9 @@ def mix_sources(df: DataFrame, id_col: str, text_col: str, source_col: str, how:
     """Per row of ``df``: ``id, source, size, source_size, target`` and ``times``, how often the mixture takes it."""
     folder = store.scratch(df.sparkSession, "mix")
     rows, entries = queue(df, id_col, text_col, source_col, how, folder)
-    last = store.stored(_taken(rows, entries, folder).agg(F.max(F.struct(*ORDER)).alias("last")), f"{folder}/last")  # one row
+    last = _taken(rows, entries, f"{folder}/work").agg(F.max(F.struct(*ORDER)).alias("last"))  # one row
+    last = store.stored(last, f"{folder}/last")
+    files.drop(f"{folder}/work")  # the result is read from the two tables that stay
 
     def taken(turn: int) -> Column:
         here = {"finish": finish(F.lit(turn)), "round": F.lit(turn)}
@@ -143,7 +146,7 @@ def mixture(df: DataFrame, id_col: str, text_col: str, source_col: str, how: Mix
     """``id, source, size, round, finish`` of each entry taken; by ``finish`` they are the mixture in its order."""
     folder = store.scratch(df.sparkSession, "mixture")
     rows, entries = queue(df, id_col, text_col, source_col, how, folder)
-    return _taken(rows, entries, folder).select("id", "source", "size", "round", "finish")
+    return _taken(rows, entries, f"{folder}/work").select("id", "source", "size", "round", "finish")
 
 
 def _taken(rows: DataFrame, entries: DataFrame, folder: str) -> DataFrame:

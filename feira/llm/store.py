@@ -33,18 +33,19 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    out = files.Output(scratch(spark, "code"), ".zip")
+    out = files.Output(scratch(spark, "code", lasting=True), ".zip")
     out.write(packed.getvalue())
     out.close()
     spark.sparkContext.addPyFile(out.uri)
     _shipped.add(app)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
+def scratch(spark: SparkSession, name: str, lasting: bool = False) -> str:
     """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
 
     Only a session on this machine alone, as in tests, may leave that unset.
-    Results may be read from it as long as the driver lives; when it ends, the folder goes.
+    Results may be read from it as long as the driver lives; when it ends, the folder goes, or at the end of the
+    :func:`temporary` block around the call, unless it is ``lasting``.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -52,10 +53,28 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder all nodes share")
         root = Path(tempfile.mkdtemp(prefix="feira-llm-")).as_uri()
     folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(files.drop, folder)
+    if _held and not lasting:
+        _held[-1].append(folder)
+    else:
+        atexit.register(files.drop, folder)
     return folder
 
 
+#: Folders made inside each :func:`temporary` block that is open, the innermost last.
+_held: list[list[str]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Scratch folders made inside go at its end: for a driver that calls operators often and stores their results inside."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        for folder in _held.pop():
+            files.drop(folder)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as a table under ``path`` and read it back, which cuts its lineage.
 

@@ -7,7 +7,7 @@ Every byte covered by a string of ``LENGTH`` bytes that also starts earlier
 1. Of all suffixes only those at anchors are sorted. The anchor of a string is its least-hashed run of LEAD
    bytes, so equal strings have their anchors at the same place, and an anchor stands for the
    few strings around it. Anchors whose lead occurs once begin no repeat; they are
-   left out by counting the leads, of which a task sends one for each slice of text.
+   left out by counting the leads, of which a task sends a frequent one twice.
 2. Each remaining anchor becomes a record with the bytes of its strings. Spark samples splitters and
    range-partitions the records by their leading bytes, ties by id and place, so a lead with very
    many suffixes is spread over several partitions.
@@ -39,6 +39,7 @@ LENGTH = 100
 LEAD = 32
 REACH = LENGTH - LEAD + 1  # places at which a string's anchor can be
 SLICE = 3 << 20
+SEEN = 8 << 20  # leads that a task remembers
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -73,27 +74,56 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return np.searchsorted(offsets, first, "right") - 1, first, last, at, lead[at]
 
 
+class _Seen:
+    """Leads that a task has met, in sorted runs of growing size; it forgets all beyond ``SEEN`` of them."""
+
+    def __init__(self) -> None:
+        self.runs: list[np.ndarray] = []
+
+    def holds(self, leads: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(leads), bool)
+        for run in self.runs:
+            found |= run[np.minimum(np.searchsorted(run, leads), len(run) - 1)] == leads
+        return found
+
+    def add(self, leads: np.ndarray) -> None:
+        if not len(leads):
+            return
+        if sum(map(len, self.runs)) > SEEN:
+            self.runs = []
+        self.runs.append(leads)
+        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+            self.runs[-2:] = [np.sort(np.concatenate(self.runs[-2:]))]
+
+
 def _leads(df: DataFrame) -> DataFrame:
-    """``did, at, lead, sure`` of all anchors of ``did, text``; ``sure``: the slice itself repeats the lead.
+    """``did, at, lead, sure`` of all anchors of ``did, text``; ``sure``: the task itself has met the lead before or twice in a slice.
 
-    ``did`` may be any key; texts that share one get the places of both.
+    ``did`` may be any key; texts that share one get the places of both. A lead that a task meets again is told to
+    the others once, by a row without ``did``: so however frequent a lead is, it has two rows that are not sure from each task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, told = _Seen(), _Seen()
         for batch in batches:
             for part in text.slices(batch, 1, SLICE):
                 data, offsets = text.text_bytes(part.column(1))
                 whose, _, _, at, lead = anchors(data, offsets)
-                _, first, back, count = np.unique(lead, return_index=True, return_inverse=True, return_counts=True)
-                sure = count[back] > 1
-                rows = np.concatenate([np.flatnonzero(sure), first])
+                each, first, back, count = np.unique(lead, return_index=True, return_inverse=True, return_counts=True)
+                again = seen.holds(each)
+                sure = (again | (count > 1))[back]
+                tell = each[again]
+                tell = tell[~told.holds(tell)]
+                seen.add(each[~again])
+                told.add(tell)
+                rows = np.concatenate([np.flatnonzero(sure), first[~again]])
                 ids = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[whose[rows]]),
-                        pa.array((at - offsets[whose])[rows]),
-                        pa.array(lead[rows].view(np.int64)),
-                        pa.array(np.arange(len(rows)) < sure.sum()),
+                        pa.concat_arrays([pa.array(ids[whose[rows]]), pa.nulls(len(tell), pa.int64())]),
+                        pa.array(np.append((at - offsets[whose])[rows], np.zeros(len(tell), np.int64))),
+                        pa.array(np.append(lead[rows], tell).view(np.int64)),
+                        pa.array(np.arange(len(rows) + len(tell)) < sure.sum()),
                     ],
                     ["did", "at", "lead", "sure"],
                 )
@@ -104,11 +134,12 @@ def _leads(df: DataFrame) -> DataFrame:
 def _repeated(leads: DataFrame) -> DataFrame:
     """``did, places``: the anchors of each text whose lead may occur twice."""
     meet = F.when(F.col("sure"), F.xxhash64("did")).otherwise(F.col("lead"))
-    # of one lead, at most one row for each slice comes together here
+    # of one lead, at most two rows for each task come together here
     counted = leads.withColumn("meet", meet).withColumn(
         "n", F.count(F.lit(1)).over(Window.partitionBy("meet", "sure"))
     )
-    return counted.where(F.col("sure") | (F.col("n") > 1)).groupBy("did").agg(F.collect_set("at").alias("places"))
+    kept = counted.where(F.col("did").isNotNull() & (F.col("sure") | (F.col("n") > 1)))
+    return kept.groupBy("did").agg(F.collect_set("at").alias("places"))
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:

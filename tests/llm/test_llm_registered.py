@@ -1,0 +1,229 @@
+"""The registered queries themselves on given tables, and texts longer than any slice, in every operator."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from test_llm_corpus import bag, hashes, removal_of
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from feira.llm import bpe, classifier, decontaminate, line_dedup, minhash, quality, queries, sharding, store, suffix_dedup, token_scan, warc
+from feira.llm.queries import VOCABULARY as NAME
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def path():
+    import public_tokenizers
+
+    return public_tokenizers.path(NAME)
+
+
+@pytest.fixture(scope="module")
+def library(path):
+    return Tokenizer.from_file(path)
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def digests(ids, library):
+    decoded = library.decode(ids, skip_special_tokens=False)
+    return hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_op1_equals_the_library(spark, texts, library):
+    want = []
+    for doc, body in texts:
+        ids = library.encode(body or "", add_special_tokens=False).ids
+        want.append((doc, len(ids), *digests(ids, library)))
+    assert bag(map(tuple, queries.op1_bpe(spark, SF).collect())) == bag(want)
+
+
+def test_op2_equals_brute_force(spark, texts):
+    want = removal_of(texts, hashes(spark, {t or "" for _, t in texts}))
+    got = queries.op2_suffix_dedup(spark, SF).collect()
+    assert bag(map(tuple, got)) == bag((d, *want[d, t or ""]) for d, t in texts)
+
+
+def test_op3_marks_held_out_rows(spark, texts):
+    got = queries.op3_quality_classifier(spark, SF).collect()
+    assert {(r.doc_id, r.held_out) for r in got} == {(d, zlib.crc32(str(d).encode()) % 4 == 2) for d, _ in texts}
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got) and len(got) == len(texts)
+
+
+def test_op4_equals_the_library(spark, texts, library):
+    library.encode_special_tokens = True
+    want = [(d, len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in texts]
+    library.encode_special_tokens = False
+    assert bag(map(tuple, queries.op4_token_counts(spark, SF).collect())) == bag(want)
+
+
+def test_op9_holds_its_law(spark, texts):
+    got = queries.op9_sharding(spark, SF).collect()
+    want = [(d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "bytes", None) for d, t in texts]
+    assert bag((r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got) == bag(want)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= max(w[1] for w in want)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_pipeline_runs_its_stages(spark, library):
+    docs, folder = spark.read.parquet(f"{SF}/documents.parquet"), store.scratch(spark, "by-stage")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = store.stored(stage(spark, docs, SF), f"{folder}/{k}")
+    got = corpus_pipeline.run(spark, SF).collect()
+    want = []
+    for doc, body in (tuple(r) for r in docs.select("doc_id", "text").collect()):
+        ids = library.encode(body or "", add_special_tokens=False).ids
+        want.append((doc, ids, *digests(ids, library)))
+    assert bag((r.doc_id, list(r.ids), r.ids_sha256, r.decoded_sha256) for r in got) == bag(want)
+
+
+def test_plain_ftrl_learns_the_same_weights(spark):
+    """One weight at a time, in dictionaries."""
+    rng = random.Random(5)
+    words = ["good", "bad", "Fine", "x1", "!!", "so", "so"]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randrange(1, 30))), rng.randrange(2)) for k in range(60)] + [(77, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    how = classifier.Training(epochs=3)
+    got = classifier.train(df, "doc_id", "text", df, "doc_id", "quality", F.lit(True), how)
+    order = df.select("doc_id", "text", "quality", *(F.xxhash64(F.lit(e), F.xxhash64("doc_id")).alias(f"e{e}") for e in (1, 2, 3))).collect()
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= how.l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * how.l1) / ((how.beta + n[i] ** 0.5) / how.alpha + how.l2)
+
+    for e in (1, 2, 3):
+        for row in sorted(order, key=lambda r: (r[f"e{e}"], r.quality)):
+            raw = row.text.encode()
+            _, features = classifier.ngrams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            count = Counter(features.tolist())
+            x = {f: float(np.float32(c / max(len(features), 1))) * how.scale for f, c in count.items()} | {classifier.FEATURES: 1.0}
+            p = 1 / (1 + np.exp(-sum(weight(f) * v for f, v in x.items())))
+            steps = {f: ((p - row.quality) * v, weight(f)) for f, v in x.items()}
+            for f, (g, w) in steps.items():
+                sigma = ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / how.alpha
+                z[f] += g - sigma * w
+                n[f] += g * g
+    want = np.zeros(classifier.FEATURES + 1)
+    for f in list(z):
+        want[f] = weight(f)
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12) and np.count_nonzero(want) > 20
+
+
+def test_ids_must_fit_the_width(spark, docs, path):
+    with pytest.raises(ValueError, match="do not fit"):
+        token_scan.write_token_files(docs, "doc_id", "text", path, "<|endoftext|>", store.scratch(spark, "narrow"), 1)
+
+
+def test_frequent_leads_send_two_rows_from_a_task(spark):
+    """Without a limit on what a task remembers or with hardly any, the same anchors repeat."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcde ", k=300))
+    pairs = [(k, "".join(rng.choices("pqrs ", k=120)) + passage) for k in range(90)]
+    df = spark.createDataFrame(pairs, "did long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a slice for each text
+    try:
+        leads = suffix_dedup._leads(df).cache()
+        unsure = leads.where("not sure").groupBy("lead").count().agg(F.max("count")).first()[0]
+        places = {r.did: sorted(r.places) for r in suffix_dedup._repeated(leads).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        leads.unpersist()
+    assert unsure <= 2 * 3
+    raw = {d: np.frombuffer(t.encode(), np.uint8) for d, t in pairs}
+    lead = {d: suffix_dedup.anchors(b, np.array([0, len(b)]))[3:] for d, b in raw.items()}
+    often = Counter(h for _, hs in lead.values() for h in hs.tolist())
+    want = {d: sorted({a for a, h in zip(at.tolist(), hs.tolist()) if often[h] > 1}) for d, (at, hs) in lead.items()}
+    assert places == {d: p for d, p in want.items() if p}
+
+
+def test_seen_leads_are_found_again():
+    rng, seen, held = np.random.default_rng(1), suffix_dedup._Seen(), set()
+    for _ in range(50):
+        new = np.unique(rng.integers(0, 10_000, rng.integers(0, 300), dtype=np.uint64))
+        assert seen.holds(new).tolist() == [int(x) in held for x in new]
+        seen.add(new[~seen.holds(new)])
+        held |= set(new.tolist())
+    assert len(seen.runs) <= 14
+
+
+LONG = " ".join(f"w{k}" for k in range(600_000))  # over 4 MB
+
+
+@pytest.fixture(scope="module")
+def long(spark):
+    rows = [(1, LONG, "s"), (2, LONG + " end", "s"), (3, "a few words", "s"), (4, LONG[:3_500_000], None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_long_texts_are_whole_in_counts_and_filters(spark, long):
+    sizes = [600_000, 600_001, 3, len(LONG[:3_500_000].split())]
+    assert [r[1] for r in rows_of(quality.annotate(long, "doc_id", "text").select("doc_id", "n_words"))] == sizes
+    bench = spark.createDataFrame([(9, " ".join(f"w{k}" for k in range(590_000, 590_020)))], "item_id long, text string")
+    got = rows_of(decontaminate.annotate(long, "doc_id", "text", bench, "item_id", "text").select("doc_id", "n_words", "n_hit"))
+    assert [r[1:] for r in got] == [(sizes[0], 20), (sizes[1], 20), (3, 0), (sizes[3], 0)]
+    kept = line_dedup.drop_boilerplate(long, "text", F.col("source"), 0.1, 1).where("doc_id = 3").first()
+    assert kept.text == ""  # a line of one document is over 10 percent of three
+    assert len(classifier.score(long, "doc_id", "text", np.zeros(classifier.FEATURES + 1)).collect()) == 4
+
+
+def test_long_texts_are_whole_in_dedup(long):
+    got = rows_of(suffix_dedup.remove_repeats(long, "doc_id", "text").select("doc_id", "n_bytes", "n_removed", "n_spans"))
+    n = len(LONG)
+    assert got == [(1, n, 0, 0), (2, n + 4, n, 1), (3, 11, 0, 0), (4, 3_500_000, 3_500_000, 1)]
+    near = rows_of(minhash.annotate(long, "doc_id", "text", queries.NEAR).select("doc_id", "n_shingles", "component_id"))
+    assert [(d, c) for d, _, c in near] == [(1, 1), (2, 1), (3, 3), (4, 4)] and near[0][1] == 599_998
+
+
+def test_long_texts_are_whole_in_tokens_and_files(spark, long, library, path):
+    two = long.where("doc_id IN (1, 3)")
+    want = [(1, library.encode(LONG, add_special_tokens=False).ids), (3, library.encode("a few words", add_special_tokens=False).ids)]
+    assert rows_of(bpe.encode(two, "doc_id", "text", path).select("doc_id", "n_tokens", "ids_sha256")) == [
+        (d, len(ids), digests(ids, library)[0]) for d, ids in want
+    ]
+    counts = token_scan.document_token_counts(two, "doc_id", "text", path, "<|endoftext|>")
+    assert rows_of(counts) == [(d, len(ids)) for d, ids in want]
+    folder = store.scratch(spark, "long-archives")
+    back = warc.read_archives(warc.write_archives(two, "doc_id", "source", "text", folder, "2024-01-01T00:00:00Z"))
+    assert rows_of(back.select("page_id", "payload_bytes")) == [(1, len(LONG)), (3, 11)]
+    placed, _ = sharding.shard_records(long, "doc_id", "text", 8)
+    assert rows_of(placed.select("id", "size"))[0] == (1, len(LONG) + 1)
+
+
+def test_slices_hold_whole_texts():
+    from feira.llm import text
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, "b" * 50, None, "c" * 3])], ["t"])
+    assert [p.num_rows for p in text.slices(batch, 0, 20)] == [1, 1, 2]
+
+
+def test_scratch_of_a_block_goes_with_it(spark, docs, tmp_path):
+    with store.temporary():
+        folder = store.scratch(spark, "inner")
+        store.stored(minhash.annotate(docs, "doc_id", "text", queries.NEAR), f"{folder}/near")
+        kept = spark.read.parquet(f"{folder}/near").count()
+        lasting = store.scratch(spark, "outer", lasting=True)
+        store.stored(docs, f"{lasting}/t")
+    assert kept == docs.count() and spark.read.parquet(f"{lasting}/t").count() == kept
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{folder}/near").count()
