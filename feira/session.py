@@ -35,7 +35,8 @@ def tune(
 
     A shuffle gets one partition per ``partition_bytes`` of input, and at least as many as
     the session asks for; there is no upper bound. The setting depends on the
-    arguments alone, not on earlier calls.
+    arguments alone, not on earlier calls. It is the session's and is read when a plan runs: of two results
+    built first and run later, both get what the later call asked for.
     """
     for name, value in SKEW_SETTINGS.items():
         if spark.conf.get(name) != value:

@@ -151,11 +151,12 @@ def test_traffic_detail_and_funnel(market):
 
 
 def test_every_report_is_covered():
-    elsewhere = {n for n in contract.report_queries() if n.startswith(("stored_", "snapshot_", "app_", "published_"))}
+    elsewhere = {n for n in contract.report_queries() if n.startswith(("stored_", "snapshot_", "app_", "published_", "refreshed_"))}
     elsewhere |= {
         "curated_customers_by_client", "customer_purchases", "customer_purchases_by_client",
         "customer_segments", "customer_snapshot_roundtrip", "growth_funnel", "gmv_calendar",
         "active_signups_calendar", "orders_monthly_pedidos_mes", "client_recency_by_name",
-        "literal_quarter_filter", "db_app", "account_years",
+        "literal_quarter_filter", "db_app", "account_years", "buyers_by_window", "window_totals",
+        "signups_breakdowns", "purchases_rollup", "checked_purchases", "key_faults", "clustered_client_orders",
     }
     assert set(contract.report_queries()) == elsewhere | set(ON_CUSTOMERS) | set(ON_PURCHASES)
