@@ -1,4 +1,10 @@
-"""From raw documents to token ids: five stages, each over all that the one before kept."""
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+A null text counts as empty wherever it is measured; the quality rules reject empty texts, so later stages see none but those that line
+dedup empties, which are kept. Null ids and sources are values like any other; rows that repeat are judged alike, and of those
+with words near dedup keeps one. A text of any length is judged as a whole. Extra columns, whatever their names, pass
+through all stages but the last unchanged, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
