@@ -300,8 +300,9 @@ def test_client_key_ranks_nothing_and_filters_at_the_scan(spark, tmp_path):
     assert any("GreaterThanOrEqual(time" in s for s in scans(by_client))
 
 
-def test_storing_again_drops_the_last_folder(spark):
+def test_storing_again_leaves_the_last_folder(spark):
+    """Its result may still be read; the folder goes when the driver ends."""
     first = Q["stored_purchases"](spark, SF).inputFiles()[0]
     again = Q["stored_purchases"](spark, SF)
     assert again.count() == 1500 and again.inputFiles()[0] != first
-    assert not Path(first.removeprefix("file://").replace("%3D", "=")).exists()
+    assert Path(first.removeprefix("file://").replace("%3D", "=")).exists()
