@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -59,7 +59,18 @@ def next_generation(version: int) -> str:
 
 def row_marks(columns: Sequence[str]) -> list[Column]:
     """Two hashes of a row; summed, they mark a set of rows whatever its order, repeated rows included."""
-    return [F.xxhash64(F.lit(lane), *columns).cast("decimal(20,0)") for lane in (0, 1)]
+    return [F.xxhash64(F.lit(lane), *columns) for lane in (0, 1)]
+
+
+#: A hash is summed in pieces of this many bits, each a bigint that holds 2^41 rows; sums as decimals take longer.
+PIECE_BITS = 22
+
+
+def _piece_sums(mark: str) -> list[Column]:
+    """The sums of the low, middle and high piece of a hash, of which the high one has its sign."""
+    low = f"{(1 << PIECE_BITS) - 1}L"
+    pieces = (f"{mark} & {low}", f"shiftright({mark}, {PIECE_BITS}) & {low}", f"shiftright({mark}, {2 * PIECE_BITS})")
+    return [F.sum(F.expr(p)).alias(f"{mark}_{i}") for i, p in enumerate(pieces)]
 
 
 def marks_by_quarter(df: DataFrame) -> dict[Period, tuple[int, str]]:
@@ -67,11 +78,16 @@ def marks_by_quarter(df: DataFrame) -> dict[Period, tuple[int, str]]:
 
     The sums combine before the shuffle, so a quarter that holds most rows is no hot key.
     """
-    one, two = row_marks(sorted(df.columns))
-    marks = df.groupBy(*PERIOD_FOLDERS).agg(
-        F.count(F.lit(1)).alias("n"), F.concat_ws(":", F.sum(one), F.sum(two)).alias("mark")
+    lanes = ("um", "dois")
+    hashed = df.select(*PERIOD_FOLDERS, *(h.alias(lane) for h, lane in zip(row_marks(sorted(df.columns)), lanes)))
+    sums = hashed.groupBy(*PERIOD_FOLDERS).agg(
+        F.count(F.lit(1)).alias("n"), *(s for lane in lanes for s in _piece_sums(lane))
     )
-    return {(r.ano, r.trimestre): (r.n, r.mark) for r in marks.collect()}
+
+    def total(row: Row, lane: str) -> int:
+        return sum(row[f"{lane}_{i}"] << (i * PIECE_BITS) for i in range(3))
+
+    return {(r.ano, r.trimestre): (r.n, ":".join(str(total(r, lane)) for lane in lanes)) for r in sums.collect()}
 
 
 def in_periods(df: DataFrame, periods: Iterable[Period]) -> DataFrame:

@@ -25,7 +25,7 @@ from feira.operators.versions import (
 )
 from feira.plans.curated import curate_customers, curate_purchases
 from feira.plans.funnel import growth_funnel
-from feira.session import drop_folder
+from feira.session import drop_folder, side_by_side
 from feira.sources.marketplace import SCHEMAS, Marketplace
 
 PURCHASES, CUSTOMERS, FUNNEL = "analytics_compras", "analytics_clientes", "growth_funil"
@@ -66,9 +66,12 @@ def build_version(m: Marketplace, root: str, cfg: Config) -> int:
     generation = next_generation(version)
     purchases = curate_purchases(m.pedidos, m.comercios, cfg)
     customers = curate_customers(m.clientes, m.enderecos, m.segments, cfg)
-    parts = write_generation(purchases, root, PURCHASES, generation, "compra_id")
-    parts += write_generation(customers, root, CUSTOMERS, generation, "cliente_id")
-    return _with_funnel(m, root, cfg, version, generation, parts)
+    bought, signed = side_by_side(
+        spark,
+        lambda: write_generation(purchases, root, PURCHASES, generation, "compra_id"),
+        lambda: write_generation(customers, root, CUSTOMERS, generation, "cliente_id"),
+    )
+    return _with_funnel(m, root, cfg, version, generation, bought + signed)
 
 
 def refresh_version(m: Marketplace, root: str, cfg: Config) -> int:
@@ -86,8 +89,12 @@ def refresh_version(m: Marketplace, root: str, cfg: Config) -> int:
     version, schemas = last + 1, table_schemas(spark, cfg)
     generation = next_generation(version)
     held = parts_of(spark, root, last)
-    purchases = _changed_purchases(m, root, cfg, generation, [p for p in held if p.tabela == PURCHASES])
-    customers = _changed_customers(m, root, cfg, generation, [p for p in held if p.tabela == CUSTOMERS], schemas[CUSTOMERS])
+    bought, signed = ([p for p in held if p.tabela == table] for table in (PURCHASES, CUSTOMERS))
+    purchases, customers = side_by_side(
+        spark,
+        lambda: _changed_purchases(m, root, cfg, generation, bought),
+        lambda: _changed_customers(m, root, cfg, generation, signed, schemas[CUSTOMERS]),
+    )
     parts = purchases + customers
     if set(parts) == {p for p in held if p.tabela != FUNNEL}:
         old = open_parts(spark, root, FUNNEL, schemas[FUNNEL], held)
