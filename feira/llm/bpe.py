@@ -6,7 +6,7 @@ with its place, an inner node the least of its children, so the root is the
 leftmost merge of the lowest rank. A merge changes three leaves, each at
 logarithmic cost; encoding ends when the root has no merge. The trees of new pieces are
 worked off side by side as numpy arrays, a long piece alone; what was met lately is kept
-in a memory of bounded size.
+in a memory of bounded size, which is emptied at the end of a task if it is large.
 
 The tokenizer comes as the JSON text of a vocabulary file; the driver reads it
 and its size does not depend on the data. A null text is an empty text and has no tokens.
@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feira.llm import store, text
+from feira.llm import store, tasks, text
 
 #: How byte-level vocabularies of this kind cut a text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?{other}+|\s+(?!\S)|\s+"""
@@ -45,6 +45,7 @@ NEWER = """
 """
 
 MEMORY = 600_000  # words kept, and a sixth as many pieces of words
+WAITING = 50_000  # words that may stay from one task to the next
 SLICE = 4 << 20  # bytes of text encoded together
 MANY = 4096  # trees side by side
 NO_MERGE = 1 << 62
@@ -302,6 +303,11 @@ class Bpe:
                     if len(key) > 64:
                         del memory[key]
 
+    def rest(self) -> None:
+        """Empty memories that grew large: the next task may be of another stage."""
+        if len(self.words) > WAITING or len(self.pieces_met) > WAITING // 6:
+            self.words, self.pieces_met = {}, {}
+
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         tokens = np.frombuffer(ids, "<u4")
@@ -359,10 +365,11 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str, special: bool =
                     [part.column(0), ids, pa.array(sizes), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
                     ["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        bpe.rest()
 
     id_type = source.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(tasks.tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, path: str) -> DataFrame:
@@ -379,4 +386,4 @@ def decode(df: DataFrame, id_col: str, ids_col: str, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     id_type = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {id_type}, text string").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tasks.tidy(run), f"id {id_type}, text string").withColumnRenamed("id", id_col)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feira.llm import files, store, text
+from feira.llm import files, store, tasks, text
 from feira.llm.components import components
 
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -127,7 +127,7 @@ def _described(df: DataFrame, how: Similarity) -> DataFrame:
                     ["rid", "key", "hash", "n", "h1", "h2", "sig"],
                 )
 
-    return df.mapInArrow(run, "rid long, key long, hash long, n long, h1 long, h2 long, sig array<int>")
+    return df.mapInArrow(tasks.tidy(run), "rid long, key long, hash long, n long, h1 long, h2 long, sig array<int>")
 
 
 @cache
@@ -174,7 +174,7 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
                 done = n
             yield batch.select([0, 1]).take(pa.array(live))
 
-    return rows.mapInArrow(run, rows.select("a", "b").schema)
+    return rows.mapInArrow(tasks.tidy(run), rows.select("a", "b").schema)
 
 
 def _sets(df: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
@@ -197,7 +197,7 @@ def _sets(df: DataFrame, nodes: DataFrame, how: Similarity) -> DataFrame:
                     ["id", "h", "shingles"],
                 )
 
-    found = rows.mapInArrow(run, "id long, h long, shingles binary")
+    found = rows.mapInArrow(tasks.tidy(run), "id long, h long, shingles binary")
     return found.groupBy(F.struct("id", "h").alias("node")).agg(F.first("shingles").alias("shingles"))
 
 
@@ -218,7 +218,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
                 keep[k] = 100 * common >= how.percent * (len(a) + len(b) - common)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, pairs.select("a", "b").schema)
+    return rows.mapInArrow(tasks.tidy(run), pairs.select("a", "b").schema)
 
 
 def _bands(nodes: DataFrame, how: Similarity) -> DataFrame:
@@ -312,7 +312,7 @@ def _centres(groups: DataFrame, sets: DataFrame) -> DataFrame:
                 ["group", "seen", "times", "refs"],
             )
 
-    return rows.mapInArrow(run, "group long, seen binary, times binary, refs int")
+    return rows.mapInArrow(tasks.tidy(run), "group long, seen binary, times binary, refs int")
 
 
 def _distinctions(groups: DataFrame, sets: DataFrame, how: Similarity, folder: str) -> DataFrame:
@@ -362,7 +362,7 @@ def _distinctions(groups: DataFrame, sets: DataFrame, how: Similarity, folder: s
 
     kind = rows.schema["node"].dataType.simpleString()
     return rows.mapInArrow(
-        run,
+        tasks.tidy(run),
         f"group long, node {kind}, label {kind}, weight long, slack long, differs long, first array<long>",
     )
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feira.llm import bpe, files, store, text
+from feira.llm import bpe, files, store, tasks, text
 
 FILE_BYTES = 64 << 20
 BLOCK_TOKENS = 1 << 19
@@ -79,9 +79,10 @@ def write_token_files(
                     out, held = None, []
         if out is not None:
             yield close()
+        tokenizer.rest()
 
     written = store.stored(
-        source.mapInArrow(run, f"uri string, bytes long, number long, id {id_kind}"), f"{folder}/written"
+        source.mapInArrow(tasks.tidy(run), f"uri string, bytes long, number long, id {id_kind}"), f"{folder}/written"
     )
     return written.select("uri", "bytes").distinct(), written.select("uri", "number", "id")
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from feira.llm import bpe, classifier, decontaminate, files, quality, token_scan
+from feira.llm import bpe, classifier, decontaminate, files, quality, tasks, token_scan
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -243,6 +243,44 @@ def test_memory_stays_small(monkeypatch):
     assert max(map(len, mine.words)) <= 64
 
 
+@pytest.mark.parametrize("stage", ["any", "bpe", "token files"])
+def test_workers_give_memory_back(spark, monkeypatch, stage):
+    monkeypatch.setitem(spark.sparkContext.environment, "WORKERS_OF", stage)  # a worker of its own
+    word = lambda k: F.hex(F.pmod(F.xxhash64("doc_id", k), F.lit(1 << 17)))
+    rows = spark.range(0, 5000, 1, 1).withColumnRenamed("id", "doc_id")
+    rows = rows.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), word), " "))
+
+    def many_arrays(batches):
+        for batch in batches:
+            arrays = [np.ones(8000) for _ in range(2000)]
+            tasks.last = arrays[-1]  # holds the end of the heap
+            yield batch
+
+    def probe(batches):
+        """Of the worker: private memory, and the words its tokenizers keep."""
+        import re
+        from pathlib import Path
+
+        import pyarrow as pa
+
+        from feira.llm import bpe
+
+        for _ in batches:
+            pass
+        held = re.findall(r"\nPrivate_(?:Clean|Dirty):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())
+        words = len(bpe.tokenizer(bpe.read_spec(VOCABULARY)).words)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(int, held)) // 1024]), pa.array([words])], ["mb", "words"])
+
+    asked = {
+        "any": lambda: rows.select("doc_id").mapInArrow(tasks.tidy(many_arrays), "doc_id long"),
+        "bpe": lambda: bpe.encode(rows, "doc_id", "text", VOCABULARY),
+        "token files": lambda: token_scan.document_token_counts(rows, "doc_id", "text", VOCABULARY, "<|endoftext|>"),
+    }
+    assert asked[stage]().count() == 5000
+    (left,) = spark.range(0, 1, 1, 1).mapInArrow(probe, "mb long, words long").collect()
+    assert left.mb <= 135 and left.words <= bpe.WAITING, left
+
+
 def test_token_counts(docs, made, library, empty):
     library.encode_special_tokens = True
     want = [(r[0], len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in made]
